@@ -52,6 +52,14 @@ def round_half_even(c, digits: int = 2) -> Column:
     return F.rint(as_col(c) * F.lit(k)) / F.lit(k)
 
 
+def stable_round(c, digits: int = 6) -> Column:
+    """Round a computed statistic reproducibly across engines: the double is
+    first fixed to 12 decimals, then rounded (half away from zero) in decimal
+    arithmetic, so last-ulp differences between summation orders vanish."""
+    d = as_col(c).try_cast("decimal(38,12)")
+    return F.round(d, digits).cast("double")
+
+
 def safe_ratio(num, den, scale: float = 100.0, digits: int | None = 2) -> Column:
     """C11/C17: round(num / (den or NULL) * scale, digits); zero or NULL den -> NULL."""
     v = F.try_divide(as_col(num).cast("double"), F.nullif(as_col(den).cast("double"), F.lit(0.0)))
