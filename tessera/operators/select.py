@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 from tessera import domain
 from tessera.functions.numeric import min_max_scaled, round_half_even, row_mean, row_sum, safe_ratio, stable_round
 from tessera.operators.quality import to_long
+from tessera.operators.quantiles import exact_quantiles
 
 
 def quantile_edges(df: DataFrame, cols, bins: int = 10) -> dict:
     """Interior quantile edges (exact, linear interpolation) of each column's
     non-NULL values: {col: [e1, ..., e_{bins-1}]}.  One aggregation, p rows."""
     probs = [i / bins for i in range(1, bins)]
-    long = to_long(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    rows = long.groupBy("feature").agg(F.percentile("value", probs).alias("e")).collect()
-    return {r["feature"]: list(r["e"]) for r in rows}
+    rows = exact_quantiles(to_long(df, cols), ["feature"], "value", probs).collect()
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r["feature"], r["q"])):
+        out.setdefault(r["feature"], []).append(r["value"])
+    return out
 
 
 def bin_expr(c: str, edges) -> Column:
