@@ -106,19 +106,23 @@ def composite_gate(df: DataFrame, composites: dict, targets, bins: int = 10,
     component exceeds ``min_gain`` (targets with < min_rows joint rows skipped).
 
     composites: {name: Column}; components: {name: [component columns]}.
-    Returns (composite, gain, kept)."""
+    All composites and components are scored in ONE binned-MI pass (one
+    edges aggregation, one contingency aggregation).  Returns (composite, gain, kept)."""
     targets = list(targets)
+    spark = df.sparkSession
     wide = df.withColumns(composites)
-    rows = []
-    for name, comps in components.items():
-        mi = binned_mutual_info(wide, [name] + list(comps), targets, bins, digits=12)
-        comp_best = (mi.where(F.col("feature") != name).groupBy("target").agg(F.max("mi").alias("mi_base")))
-        own = mi.where((F.col("feature") == name) & (F.col("n") >= min_rows)).select("target", F.col("mi").alias("mi_c"))
-        g = (own.join(comp_best, "target").where(F.col("mi_base") > 0)
-                .agg(F.avg((F.col("mi_c") - F.col("mi_base")) / F.col("mi_base")).alias("gain")))
-        rows.append(g.select(F.lit(name).alias("composite"),
-                             stable_round(F.coalesce("gain", F.lit(0.0)), digits).alias("gain")))
-    out = reduce(DataFrame.unionByName, rows)
+    cols = list(dict.fromkeys(list(components) + [c for cs in components.values() for c in cs]))
+    mi = binned_mutual_info(wide, cols, targets, bins, digits=12)
+    links = spark.createDataFrame([(k, c) for k, cs in components.items() for c in cs], "composite string, feature string")
+    base = (mi.join(F.broadcast(links), "feature").groupBy("composite", "target")
+              .agg(F.max("mi").alias("mi_base")))
+    own = (mi.where(F.col("n") >= min_rows)
+             .select(F.col("feature").alias("composite"), "target", F.col("mi").alias("mi_c")))
+    gains = (own.join(base, ["composite", "target"]).where(F.col("mi_base") > 0)
+                .groupBy("composite").agg(F.avg((F.col("mi_c") - F.col("mi_base")) / F.col("mi_base")).alias("gain")))
+    names = spark.createDataFrame([(k,) for k in components], "composite string")
+    out = names.join(gains, "composite", "left").select(
+        "composite", stable_round(F.coalesce("gain", F.lit(0.0)), digits).alias("gain"))
     return out.withColumn("kept", F.col("gain") > min_gain)
 
 

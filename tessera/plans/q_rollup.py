@@ -40,14 +40,17 @@ def shares_rollup(spark, d):
     o = table(spark, d, "orders", "o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, d, "customer", "c_custkey", "c_acctbal")
     # pre-aggregate per (customer, election) before the customer join
-    gen = (o.groupBy("o_custkey", date_str("o_orderdate").alias("election"))
+    # the year is the election id here: pre-aggregating at that grain before
+    # the customer join keeps one row per (customer, year)
+    gen = (o.groupBy("o_custkey", year_prefix(date_str("o_orderdate")).alias("election"))
             .agg(F.count(F.lit(1)).alias("n_orders"),
                  F.sum(F.rint(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"))
             .join(c, F.col("o_custkey") == F.col("c_custkey"))
             .withColumn("balance_cents", F.col("n_orders") * F.rint(F.col("c_acctbal") * 100).cast("long"))
             .join(cust, "c_custkey"))
     lines = (order_lines(spark, d)
-             .groupBy("o_custkey", date_str("o_orderdate").alias("election"), "l_returnflag", "l_linestatus")
+             .groupBy("o_custkey", year_prefix(date_str("o_orderdate")).alias("election"), "l_returnflag",
+                      "l_linestatus")
              .agg(F.sum(F.col("l_quantity").cast("long")).alias("voix"))
              .join(cust, F.col("o_custkey") == F.col("c_custkey")))
     out = R.family_rollup(gen, lines, families_df(spark), place_col="place", election_col="election",
@@ -62,7 +65,7 @@ def shares_rollup(spark, d):
 _SHARES_SQL = """
 fam(r, s, famille) AS (VALUES ('R','F','alpha'), ('A','F','beta'), ('N','O','gamma'), ('N','F','alpha')),
 gen0 AS (
-  SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS election, count(*) AS n_orders,
+  SELECT o_custkey, substr(strftime(o_orderdate, '%Y-%m-%d'), 1, 4) AS election, count(*) AS n_orders,
          sum(CAST(round_even(o_totalprice * 100, 0) AS BIGINT)) AS total_cents
   FROM orders GROUP BY 1, 2),
 gen AS (
