@@ -53,11 +53,12 @@ def round_half_even(c, digits: int = 2) -> Column:
 
 
 def stable_round(c, digits: int = 6) -> Column:
-    """Round a computed statistic reproducibly across engines: the double is
-    first fixed to 12 decimals, then rounded (half away from zero) in decimal
-    arithmetic, so last-ulp differences between summation orders vanish."""
-    d = as_col(c).try_cast("decimal(38,12)")
-    return F.round(d, digits).cast("double")
+    """Round a computed statistic reproducibly across engines and summation
+    orders: first snap to ``digits + 4`` decimals (absorbs last-ulp noise),
+    then round half-even to ``digits``; pure IEEE double arithmetic, so any
+    engine doing the same operations gets the same bits."""
+    fine = F.rint(as_col(c).cast("double") * F.lit(float(10 ** (digits + 4))))
+    return F.rint(fine / F.lit(1e4)) / F.lit(float(10 ** digits))
 
 
 def safe_ratio(num, den, scale: float = 100.0, digits: int | None = 2) -> Column:

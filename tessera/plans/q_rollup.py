@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import round_half_even, safe_ratio
+from tessera.functions import round_half_even, safe_ratio, stable_round
 from tessera.functions.codes import year_prefix
 from tessera.operators import rollup as R
 from tessera.operators.reshape import vintage_stack
@@ -251,9 +251,9 @@ par AS (
   FROM rows GROUP BY 1, 2),
 base AS (SELECT c.c_custkey, c.c_nationkey, p.annee FROM customer c, (VALUES ('1997'), ('2000')) p(annee))
 SELECT b.c_custkey, b.c_nationkey, b.annee,
-       round_even(coalesce(e.urgent, p.urgent) * 100, 0) / 100 AS price_urgent,
-       round_even(coalesce(e.medium, p.medium) * 100, 0) / 100 AS price_medium,
-       round_even(coalesce(e.low, p.low) * 100, 0) / 100 AS price_low
+       round_even(round_even((coalesce(e.urgent, p.urgent)) * 1e6, 0) / 1e4, 0) / 1e2 AS price_urgent,
+       round_even(round_even((coalesce(e.medium, p.medium)) * 1e6, 0) / 1e4, 0) / 1e2 AS price_medium,
+       round_even(round_even((coalesce(e.low, p.low)) * 1e6, 0) / 1e4, 0) / 1e2 AS price_low
 FROM base b LEFT JOIN par p ON p.c_nationkey = b.c_nationkey AND p.annee = b.annee
 LEFT JOIN ent e ON e.o_custkey = b.c_custkey AND e.annee = b.annee
 """)
@@ -272,7 +272,7 @@ def fallback_overlay(spark, d):
                              ent.withColumnRenamed("o_custkey", "c_custkey"), par, PRICE_CATEGORIES,
                              periods=list(PRICE_PERIODS), prefix="price_")
     return out.select("c_custkey", "c_nationkey", "annee",
-                      *[round_half_even(f"price_{k}", 2).alias(f"price_{k}") for k in PRICE_CATEGORIES])
+                      *[stable_round(f"price_{k}", 2).alias(f"price_{k}") for k in PRICE_CATEGORIES])
 
 
 VINTAGES = {"2000": ("P00_", "C00_"), "1996": ("P96_", "C96_")}
