@@ -163,3 +163,39 @@ LINK_HREF_MARKER = "télécharge"
 # --- fixed values: resource catalogue extensions and declared formats
 CATALOGUE_EXTENSIONS = [".csv", ".parquet", ".xlsx", ".xls", ".zip", ".txt", ".gz", ".7z"]
 CATALOGUE_FORMATS = ["csv", "parquet", "xlsx", "xls", "zip", "txt"]
+
+# --- fixed values: family -> dominant cleavage label (export dimension)
+FAMILY_CLEAVAGE = {
+    "gauche_radicale": "clivage de classe (travailleurs), anti-système",
+    "social_democratie": "clivage de classe (réformisme)",
+    "ecologisme": "post-matérialisme, transition écologique",
+    "liberalisme_centre": "synthèse libérale, pro-européen",
+    "droite_conservatrice": "clivage de classe (possédants), ordre, tradition",
+    "souverainisme": "centre/périphérie, euroscepticisme",
+    "droite_nationale": "identitaire, immigration, sécurité",
+}
+
+# --- fixed values: elections (export dimension) and year -> election id
+ELECTIONS = [
+    (1, "presidentielle", 1, "2017-04-23"),
+    (2, "presidentielle", 1, "2022-04-10"),
+]
+ELECTION_IDS = {"2017": 1, "2022": 2}
+
+# --- fixed values: socio-economic indicators exported with each observation
+SOCIO_EXPORT_COLS = [
+    "taux_abstention", "taux_blancs_nuls", "taux_chomage", "taux_activite", "pct_diplome_sup",
+    "pct_sans_diplome", "pct_cadres", "pct_ouvriers", "taux_logements_vacants", "pct_proprietaires",
+    "pct_hlm", "pct_menages_seuls", "pct_familles_mono", "densite_associative", "solde_naturel",
+    "pct_emploi_agri", "pct_emploi_indus", "pct_emploi_const", "pct_emploi_services", "pct_emploi_public",
+    "pct_immigres", "crim_violences", "crim_atteintes_biens", "crim_stupefiants",
+]
+ELECTION_COUNT_COLS = ["inscrits", "votants", "abstentions", "blancs", "nuls", "exprimes"]
+
+# --- fixed values: columns never used as features / identifiers kept in the final table
+NON_FEATURES = ["CODGEO", "annee", "lib_commune", "DEP", "REG", "taux_abstention", "taux_blancs_nuls",
+                "inscrits", "abstentions", "votants", "blancs", "nuls", "exprimes", "nb_associations",
+                "INCONNU", "NAISD17", "DECESD17", "NAISD22", "DECESD22"]
+IDENTIFIERS = ["CODGEO", "annee", "lib_commune", "DEP", "REG"]
+AUXILIARY = ["taux_abstention", "taux_blancs_nuls"]
+MIN_POPULATION = 2000

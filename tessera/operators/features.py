@@ -51,18 +51,31 @@ class ByPeriod:
     digits: int = 2
 
 
+@dataclass
+class Custom:
+    """name = fn(df) -> Column (or None when its inputs are absent)."""
+    name: str
+    fn: object
+
+
 def _expr(df: DataFrame, spec) -> Column | None:
     have = set(df.columns)
+    if isinstance(spec, Custom):
+        return spec.fn(df)
     if isinstance(spec, Ratio):
         if spec.num not in have or spec.den not in have:   # P5: optional inputs
             return None
         num = F.coalesce(F.col(spec.num), F.lit(0.0)) if spec.fill_num else F.col(spec.num)
         return safe_ratio(num, spec.den, spec.scale, spec.digits)
     if isinstance(spec, PartsOrTotal):
+        if spec.den not in have:
+            return None
         parts = [F.col(p) if p in have else F.lit(None).cast("double") for p in spec.parts]
         total = F.col(spec.total) if spec.total in have else F.lit(None).cast("double")
         return safe_ratio(all_or_total(parts, total), spec.den, spec.scale, spec.digits)
     if isinstance(spec, ByPeriod):
+        if spec.den not in have:
+            return None
         e = None
         for period, (a, b) in spec.cols.items():
             if a not in have or b not in have:

@@ -20,9 +20,10 @@ def elections(spark, n=20):
         for i in range(n):
             code = f"{10000 + i:05d}"
             for bv in range(2):
-                gen.append((year, code, str(bv), 5000, 1000, 4000, 100, -50 if bv == 0 else 50, 3850))
-                for nom, prenom in CANDIDATES:
-                    cand.append((year, code, str(bv), nom, prenom, rnd.randint(10, 900)))
+                votes = [rnd.randint(10, 900) for _ in CANDIDATES]
+                gen.append((year, code, str(bv), 5000, 1000, 4000, 100, -50 if bv == 0 else 50, sum(votes)))
+                for (nom, prenom), v in zip(CANDIDATES, votes):
+                    cand.append((year, code, str(bv), nom, prenom, v))
     g = spark.createDataFrame(gen, "id_election string, code_commune string, code_bv string, inscrits long, "
                                    "abstentions long, votants long, blancs long, nuls long, exprimes long")
     c = spark.createDataFrame(cand, "id_election string, code_commune string, code_bv string, nom string, "
