@@ -88,3 +88,30 @@ def semi_used(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key: str) -> D
     """Dimension rows whose key is used by the fact (left semi join)."""
     used = fact.select(F.col(fact_key).alias(dim_key)).where(F.col(dim_key).isNotNull())
     return dim.join(used, dim_key, "left_semi")
+
+
+def top_n_per_group(df: DataFrame, group_cols, order_cols, n: int, salt_buckets: int = 64,
+                    rank_col: str | None = None) -> DataFrame:
+    """First ``n`` rows per group under ``order_cols`` (a total order), skew-safe.
+
+    Stage 1 ranks inside (group, salt) sub-groups, salt = hash of the whole
+    row modulo ``salt_buckets``, and keeps the top n of each: a group holding
+    a third of all rows is sorted in ``salt_buckets`` pieces.  Stage 2 ranks
+    the at most n * salt_buckets survivors per group.  Exact."""
+    from pyspark.sql.window import Window
+    g = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    o = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*g, "_salt").orderBy(*o)
+    stage1 = salted.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*g).orderBy(*o)
+    out = stage1.withColumn("_r2", F.row_number().over(w2)).where(F.col("_r2") <= n)
+    return out.withColumnRenamed("_r2", rank_col) if rank_col else out.drop("_r2")
+
+
+def any_per_group(df: DataFrame, group_cols, flag_col: str, out_col: str) -> DataFrame:
+    """Attach to every row whether any row of its group has ``flag_col`` true
+    (a map-side-combined aggregate joined back, instead of a window)."""
+    g = [group_cols] if isinstance(group_cols, str) else list(group_cols)
+    agg = df.groupBy(*g).agg(F.max(F.col(flag_col).cast("int")).alias(out_col))
+    return df.join(agg, g, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0)) == 1)

@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from tessera import domain
 from tessera.functions.codes import priority_from_prefix
 from tessera.functions.numeric import round_half_even, stable_round, status_rule
+from tessera.operators.joins import top_n_per_group
 from tessera.operators.quality import to_long
 from tessera.session import cut_lineage
 
@@ -136,10 +137,9 @@ def correlations(df: DataFrame, features, targets=None, digits: int = 6) -> Data
 
 def top_k(corr: DataFrame, k: int = 5, group: str = "target", item: str = "feature") -> DataFrame:
     """K largest |r| per target (NULL r excluded; ties by item name)."""
-    w = Window.partitionBy(group).orderBy(F.desc(F.abs("r")), F.col(item))
-    return (corr.where(F.col("r").isNotNull())
-                .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                .select(group, "rank", item, "r"))
+    c = corr.where(F.col("r").isNotNull()).withColumn("_abs", F.abs("r"))
+    top = top_n_per_group(c, group, [F.desc("_abs"), F.col(item)], k, rank_col="rank")
+    return top.select(group, "rank", item, "r")
 
 
 # ----------------------------------------------------------------------------- collinearity

@@ -8,9 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera import domain
+from tessera.operators.joins import any_per_group, top_n_per_group
 
 # <a ... href="..." ...>anchor</a>; script/style/comment blocks are removed first.
 ANCHOR_RE = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
@@ -65,8 +65,8 @@ def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, pa
     ul = F.lower(F.col("url"))
     match = reduce(lambda a, b: a | b, [ul.rlike(p) for p in patterns]) if patterns else F.lit(True)
     x = x.withColumn("matches_pattern", F.col("is_download") & match)
-    any_match = F.max(F.col("matches_pattern").cast("int")).over(Window.partitionBy(id_col))
-    return x.withColumn("kept", F.col("is_download") & (F.col("matches_pattern") | (any_match == 0)))
+    x = any_per_group(x, id_col, "matches_pattern", "_any")
+    return x.withColumn("kept", F.col("is_download") & (F.col("matches_pattern") | ~F.col("_any"))).drop("_any")
 
 
 _UNSAFE = r"[^\p{L}\p{N}_.\-]"
@@ -111,9 +111,8 @@ def prefer_catalogue(resources: DataFrame, dataset_col: str, order_col: str, key
     r = r.where(~((F.col("format") == "csv") & F.coalesce(F.col("_pq"), F.lit(False)))).drop("_pq")
     if keyword:
         r = r.withColumn("_hit", F.lower(F.col("title")).contains(keyword.lower()))
-        r = r.withColumn("_any", F.max(F.col("_hit").cast("int")).over(Window.partitionBy(dataset_col)))
-        r = r.where(F.col("_hit") | (F.col("_any") == 0)).drop("_hit", "_any")
+        r = any_per_group(r, dataset_col, "_hit", "_any")
+        r = r.where(F.col("_hit") | ~F.col("_any")).drop("_hit", "_any")
     if max_resources:
-        w = Window.partitionBy(dataset_col).orderBy(order_col)
-        r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_resources).drop("_rn")
+        r = top_n_per_group(r, dataset_col, [order_col], max_resources)
     return r

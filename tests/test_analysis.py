@@ -164,3 +164,15 @@ def test_spark_ridge_equals_closed_form(spark):
     xs = (x - x.mean(0)) / x.std(0)
     w = np.linalg.solve(xs.T @ xs + 1.0 * np.eye(3), xs.T @ (y - y.mean()))
     assert np.allclose(np.array(m.coefficients) * x.std(0), w, atol=1e-6)
+
+
+def test_top_n_per_group_skewed(spark):
+    from pyspark.sql.window import Window
+    from tessera.operators.joins import top_n_per_group
+    df = spark.range(0, 5000).select((F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(
+        (F.col("id") % 10).cast("string"))).alias("g"), ((F.col("id") * 7919) % 5003).alias("v"))
+    got = sorted((r["g"], r["rank"], r["v"]) for r in top_n_per_group(df, "g", ["v"], 3, rank_col="rank").collect())
+    w = Window.partitionBy("g").orderBy("v")
+    ref = sorted((r["g"], r["rank"], r["v"]) for r in
+                 df.withColumn("rank", F.row_number().over(w)).where("rank <= 3").collect())
+    assert got == ref
