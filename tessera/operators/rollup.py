@@ -151,13 +151,13 @@ def family_rollup(general: DataFrame, candidates: DataFrame, families: DataFrame
     g = g.withColumn(year_col, year_prefix(election_col))
     gen = sum_measures(g, [year_col, place_col], list(count_cols), clip_at_zero=clip_cols)
 
+    # aggregate on the raw names first: normalisation (translate + regex) then
+    # runs once per (year, place, raw name) instead of once per polling station
     c = (candidates.withColumn(year_col, year_prefix(election_col))
+                   .groupBy(year_col, place_col, surname_col, firstname_col)
+                   .agg(F.sum(vote_col).alias(vote_col))
                    .withColumn("nom_norm", normalize_name(surname_col))
                    .withColumn("prenom_norm", normalize_name(firstname_col)))
-    # aggregate before the lookup: the join then sees one row per
-    # (year, place, candidate) instead of one per polling station
-    c = (c.groupBy(year_col, place_col, "nom_norm", "prenom_norm")
-          .agg(F.sum(vote_col).alias(vote_col)))
     c = lookup_with_default(c, families, ["nom_norm", "prenom_norm"], "famille", unknown)
     piv = pivot_sum(c, [year_col, place_col], "famille", list(family_values) + [unknown],
                     vote_col, zero_fill=list(family_values))

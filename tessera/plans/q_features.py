@@ -17,7 +17,7 @@ from tessera.operators.features import ByPeriod, PartsOrTotal, Ratio, ratio_feat
 from tessera.operators.joins import enrich, fanout_report
 from tessera.plans import q_rollup
 from tessera.plans.registry import REGISTRY, query
-from tessera.plans.tables import table
+from tessera.plans.tables import shared_plan, table
 
 MIN_QTY = 100.0
 
@@ -55,6 +55,7 @@ WHERE b.sum_qty IS NOT NULL AND b.sum_qty >= {MIN_QTY} AND coalesce(NOT starts_w
 """
 
 
+@shared_plan
 def enrichment_chain(spark, d):
     base = q_rollup.rollup_measures(spark, d)
     out = enrich(base, enrichment_steps(spark, d))
@@ -80,6 +81,7 @@ FEATURES = ["n_lines", "sum_qty", "revenue", "net_tax", "c_acctbal", "pct_return
 TARGETS = ["pct_alpha", "pct_beta", "pct_gamma"]
 
 
+@shared_plan
 def analytical_table(spark, d):
     """Enrichment chain + ratio features + targets (family shares of the row's nation-year)."""
     t = ratio_features(enrichment_chain(spark, d), FEATURE_SPECS)

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import round_half_even, safe_ratio, stable_round
 from tessera.functions.codes import year_prefix
+from tessera.functions.text import normalize_name
 from tessera.operators import rollup as R
 from tessera.operators.reshape import vintage_stack
 from tessera.plans.registry import query
-from tessera.plans.tables import date_str, table
+from tessera.plans.tables import date_str, shared_plan, table
 
 # Binding of the family lookup to the driver tables: a candidate is a
 # (return flag, line status) pair; two pairs are deliberately unmapped.
@@ -33,6 +34,7 @@ def _place(spark, d):
         F.col("c_custkey"), F.col("c_nationkey").cast("string").alias("place"))
 
 
+@shared_plan
 def shares_rollup(spark, d):
     """D5 bound: orders are the general table, order lines the candidate rows,
     place = customer nation, election id = order date string."""
@@ -103,6 +105,7 @@ SELECT *, CAST(alpha + beta + gamma + coalesce("INCONNU", 0) AS BIGINT) AS total
        round_even(gamma / nullif(CAST(alpha + beta + gamma + coalesce("INCONNU", 0) AS DOUBLE), 0) * 100 * 100, 0) / 100 AS pct_gamma
 FROM roll
 """)
+@shared_plan
 def family_shares(spark, d):
     return R.family_shares(shares_rollup(spark, d), FLAG_FAMILIES, "total_votes")
 
@@ -117,10 +120,9 @@ def lookup_default_pivot(spark, d):
                       "l_returnflag", "l_linestatus")
              .agg(F.sum(F.col("l_quantity").cast("long")).alias("voix"))
              .join(_place(spark, d), F.col("o_custkey") == F.col("c_custkey")))
-    from tessera.functions.text import normalize_name
-    c = (lines.withColumn("nom_norm", normalize_name("l_returnflag"))
-              .withColumn("prenom_norm", normalize_name("l_linestatus"))
-              .groupBy("annee", "place", "nom_norm", "prenom_norm").agg(F.sum("voix").alias("voix")))
+    c = (lines.groupBy("annee", "place", "l_returnflag", "l_linestatus").agg(F.sum("voix").alias("voix"))
+              .withColumn("nom_norm", normalize_name("l_returnflag"))
+              .withColumn("prenom_norm", normalize_name("l_linestatus")))
     c = R.lookup_with_default(c, families_df(spark), ["nom_norm", "prenom_norm"], "famille")
     return R.pivot_sum(c, ["annee", "place"], "famille", FLAG_FAMILIES + ["INCONNU"], "voix",
                        zero_fill=FLAG_FAMILIES)
@@ -145,6 +147,7 @@ FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
 WHERE l.l_quantity > 0
 GROUP BY 1, 2
 """)
+@shared_plan
 def rollup_measures(spark, d):
     li = table(spark, d, "lineitem", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
@@ -173,6 +176,7 @@ per_nation AS (
 SELECT s_nationkey, round_even(part / nullif(total, 0) * 100 * 100, 0) / 100 AS pct_returned
 FROM per_nation WHERE total > 0
 """)
+@shared_plan
 def conditional_share(spark, d):
     li = table(spark, d, "lineitem", "l_suppkey", "l_quantity", "l_returnflag")
     s = table(spark, d, "supplier", "s_suppkey", "s_nationkey")
@@ -213,6 +217,7 @@ SELECT iv.c_nationkey, d.annee, count(*) AS nb_active
 FROM iv JOIN d ON iv.s <= d.dt AND (iv.e > d.dt OR iv.e = '0001-01-01')
 GROUP BY 1, 2
 """)
+@shared_plan
 def active_at_dates(spark, d):
     iv = order_intervals(spark, d)
     # count per customer first (small), then roll customers up to nations

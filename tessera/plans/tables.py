@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,52 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+_BASE: dict = {}
+_REUSE = os.environ.get("TESSERA_REUSE_SCANS", "1") == "1"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Parquet scan; listed columns are projected so Catalyst prunes the read schema."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan; listed columns are projected so Catalyst prunes the read schema.
+
+    One base relation per (session, table) is kept, like a catalog entry: file
+    listing and footer schema inference happen once, and identical scans in
+    one plan are recognised as such (exchange reuse)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (_session_key(spark), path)
+    df = _BASE.get(key) if _REUSE else None
+    if df is None:
+        df = spark.read.parquet(path)
+        if _REUSE:
+            _BASE[key] = df
     return df.select(*cols) if cols else df
 
 
 def date_str(c: str):
     """ISO date string of a timestamp column (the source compares dates as strings)."""
     return F.date_format(F.col(c), "yyyy-MM-dd")
+
+
+def _session_key(spark: SparkSession):
+    return (spark.sparkContext.applicationId, id(spark))
+
+
+_PLANS: dict = {}
+
+
+def shared_plan(fn):
+    """Memoise a lazily built DataFrame per (application, session, data dir).
+
+    Only the logical plan object is shared (like a view definition): every
+    query that uses it still executes it in full; nothing is cached."""
+    def wrapper(spark, d, *a, **kw):
+        if a or kw:
+            return fn(spark, d, *a, **kw)
+        key = (fn.__module__, fn.__qualname__, _session_key(spark), d.rstrip("/"))
+        df = _PLANS.get(key)
+        if df is None:
+            df = _PLANS[key] = fn(spark, d)
+        return df
+    wrapper.__name__ = fn.__name__
+    wrapper.__qualname__ = fn.__qualname__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
