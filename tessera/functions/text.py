@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions._cols import as_col
 
-# Python's str.strip() strips Unicode whitespace plus the four
-# information separators U+001C..U+001F; Java's (?U)\s lacks those four.
-_WS = r"[\s\x{1c}-\x{1f}]"
-_STRIP_RE = rf"(?U)^{_WS}+|{_WS}+$"
+# The characters Python's str.strip() removes: every code point with
+# str.isspace() (Unicode whitespace plus the separators U+001C..U+001F),
+# generated from the Unicode database, not listed by hand.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
 
 
 def strip_ws(c) -> Column:
-    """Trim leading/trailing Unicode whitespace (plain ``trim`` strips only spaces)."""
-    return F.regexp_replace(as_col(c), _STRIP_RE, "")
+    """Trim leading/trailing whitespace exactly like ``str.strip()``
+    (plain ``trim`` strips only spaces); ``btrim`` with a character set, no regex."""
+    return F.btrim(as_col(c).cast("string"), F.lit(WHITESPACE))
 
 
 @functools.lru_cache(maxsize=1)
