@@ -36,7 +36,7 @@ c AS (SELECT page_id, url AS base,
              regexp_replace(html, '{L.NON_MARKUP_RE}', '', 'g') AS h FROM pages),
 x AS (SELECT page_id, base, regexp_extract_all(h, '{L.ANCHOR_RE}', 1) AS hs,
              regexp_extract_all(h, '{L.ANCHOR_RE}', 2) AS ts FROM c),
-a AS (SELECT page_id, base, i - 1 AS ordinal, hs[i] AS href,
+a AS (SELECT page_id, base, CAST(i - 1 AS INTEGER) AS ordinal, hs[i] AS href,
              trim(regexp_replace(ts[i], '{L.TAG_RE}', '', 'g')) AS anchor
       FROM (SELECT *, generate_subscripts(hs, 1) AS i FROM x)),
 f AS (SELECT page_id, ordinal, href, anchor, {_resolve_sql('base', 'href')} AS url,
