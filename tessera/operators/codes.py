@@ -77,8 +77,7 @@ def _min_label(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Map each node of ``edges`` to the minimum code of its undirected component."""
     und = edges.select(F.col("old_code").alias("a"), F.col("new_code").alias("b")).unionByName(
         edges.select(F.col("new_code").alias("a"), F.col("old_code").alias("b")))
-    lab = cut_lineage(und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lab")))
-    lab = lab.select("a", F.least("lab", "a").alias("lab"))
+    lab = cut_lineage(und.groupBy("a").agg(F.min("b").alias("lab")).select("a", F.least("lab", "a").alias("lab")))
     for _ in range(max_rounds):
         prop = (und.join(lab.withColumnRenamed("a", "b").withColumnRenamed("lab", "lb"), "b")
                    .groupBy("a").agg(F.min("lb").alias("lb")))

@@ -37,7 +37,10 @@ def date_str(c: str):
 
 
 def _session_key(spark: SparkSession):
-    return (spark.sparkContext.applicationId, id(spark))
+    try:
+        return (spark.sparkContext.applicationId, id(spark))
+    except Exception:  # Spark Connect
+        return (getattr(spark, "session_id", None), id(spark))
 
 
 _PLANS: dict = {}

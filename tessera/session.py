@@ -44,14 +44,19 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder named by the session.
 
     ``spark.checkpoint.dir`` is read from the session; only when it is
     unset (local runs) a fresh scratch folder is created and registered.
+    Sessions without a local SparkContext (Spark Connect) keep the server's
+    setting untouched.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: checkpointing is configured server-side
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current

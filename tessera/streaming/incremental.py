@@ -20,7 +20,10 @@ from tessera.session import checkpoint_dir
 
 
 def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", name)
+    base = checkpoint_dir(spark)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a shared folder for streaming checkpoints")
+    return os.path.join(base, "streams", name)
 
 
 def stage_new_files(spark: SparkSession, source_glob: str, target_dir: str, schema: T.StructType, name: str,
