@@ -77,7 +77,8 @@ def main(argv):
     names = [a for a in argv[1:] if not a.startswith("/")]
     from tessera.plans import REGISTRY
     from tessera.session import build_session
-    spark = build_session("local[8]")
+    spark = build_session(os.environ.get("TESSERA_MASTER", "local[8]"),
+                          shuffle_partitions=int(os.environ.get("TESSERA_SHUFFLE", "8")))
     con = duck(sf_dir)
     ok = True
     for name, q in REGISTRY.items():
