@@ -10,9 +10,6 @@ from tessera.operators.codes import close_edges, harmonize
 from tessera.plans.registry import query
 from tessera.plans.tables import table
 
-_WS_SQL = r"'^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$'"
-
-
 @query("name_normalize", "C1 C2", oracle=r"""
 SELECT doc_id,
        strip_accents(replace(replace(upper(regexp_replace(text, '^\s+|\s+$', '', 'g')),
@@ -119,3 +116,62 @@ def code_harmonize(spark, d):
              .agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q")))
     h = harmonize(pre, "code", close_edges(part_edges(spark, d)))
     return h.groupBy("code").agg(F.sum("n").alias("n_lines"), F.sum("q").alias("sum_qty"))
+
+
+@query("numeric_columns_clean", "D3 P6 C3 C4 C5", oracle=r"""
+WITH raw AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS CODGEO,
+         CASE WHEN c_acctbal < 0 THEN 's' ELSE replace(CAST(c_acctbal AS VARCHAR), '.', ',') END AS acctbal,
+         CAST(c_nationkey AS VARCHAR) AS nationkey,
+         CASE WHEN c_acctbal > 9000 THEN 's' ELSE CAST(length(c_name) AS VARCHAR) END AS name_len
+  FROM customer)
+SELECT CODGEO,
+  CASE WHEN nullif(acctbal, 's') IS NULL THEN NULL
+       WHEN regexp_matches(replace(acctbal, ',', '.'), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+       THEN TRY_CAST(trim(replace(acctbal, ',', '.')) AS DOUBLE) END AS acctbal,
+  CASE WHEN nullif(nationkey, 's') IS NULL THEN NULL
+       WHEN regexp_matches(replace(nationkey, ',', '.'), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+       THEN TRY_CAST(trim(replace(nationkey, ',', '.')) AS DOUBLE) END AS nationkey,
+  CASE WHEN nullif(name_len, 's') IS NULL THEN NULL
+       WHEN regexp_matches(replace(name_len, ',', '.'), '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$')
+       THEN TRY_CAST(trim(replace(name_len, ',', '.')) AS DOUBLE) END AS name_len
+FROM raw
+""")
+def numeric_columns_clean(spark, d):
+    """D3 on a census-like all-string extract of ``customer``: every string
+    column except the key is cleaned (suppression marker, decimal comma)."""
+    from tessera.operators.territory import clean_numeric_columns
+    c = table(spark, d, "customer", "c_custkey", "c_acctbal", "c_nationkey", "c_name")
+    raw = c.select(
+        F.col("c_custkey").cast("string").alias("CODGEO"),
+        F.when(F.col("c_acctbal") < 0, F.lit("s"))
+         .otherwise(F.replace(F.col("c_acctbal").cast("string"), F.lit("."), F.lit(","))).alias("acctbal"),
+        F.col("c_nationkey").cast("string").alias("nationkey"),
+        F.when(F.col("c_acctbal") > 9000, F.lit("s")).otherwise(F.length("c_name").cast("string")).alias("name_len"))
+    return clean_numeric_columns(raw, "CODGEO")
+
+
+@query("registry_clean", "D4 C7 C8 F7 F8 A15", oracle=r"""
+WITH raw AS (
+  SELECT CAST(CAST(o.o_custkey AS DOUBLE) AS VARCHAR) AS code, strftime(o.o_orderdate, '%Y-%m-%d') AS date_creat,
+         CASE WHEN o.o_orderstatus = 'O' THEN '0001-01-01' ELSE strftime(o.o_orderdate, '%Y') || '-12-31' END AS date_disso
+  FROM orders o),
+z AS (SELECT regexp_replace(code, '\.0$', '') AS c, date_creat, date_disso FROM raw),
+p AS (SELECT CASE WHEN length(c) >= 5 THEN c
+                  WHEN c LIKE '-%' OR c LIKE '+%' THEN substr(c, 1, 1) || lpad(substr(c, 2), 4, '0')
+                  ELSE lpad(c, 5, '0') END AS adrs_codeinsee, date_creat, date_disso FROM z)
+SELECT DISTINCT adrs_codeinsee, date_creat, date_disso FROM p
+WHERE adrs_codeinsee IS NOT NULL AND length(adrs_codeinsee) = 5 AND adrs_codeinsee NOT IN ('00nan', '00NaN', 'nan00')
+  AND date_creat <> '0001-01-01' AND date_creat <= '2025-12-31'
+""")
+def registry_clean(spark, d):
+    """D4 on a registry-like extract of ``orders`` (float-rendered codes,
+    creation date, open sentinel or year-end dissolution)."""
+    from tessera.operators.territory import clean_registry
+    o = table(spark, d, "orders", "o_custkey", "o_orderdate", "o_orderstatus")
+    raw = o.select(
+        F.col("o_custkey").cast("double").cast("string").alias("adrs_codeinsee"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_creat"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("0001-01-01"))
+         .otherwise(F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-12-31"))).alias("date_disso"))
+    return clean_registry(raw)

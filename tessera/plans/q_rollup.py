@@ -319,3 +319,21 @@ SELECT o_custkey, NB_LINES_ALL, P96_QTY AS P_QTY, P96_REV AS P_REV, C96_NBLINES
 """)
 def vintage_stack_q(spark, d):
     return vintage_stack(vintage_wide(spark, d), VINTAGES, VINTAGE_RULES, year_col="annee")
+
+
+@query("key_set_ops", "J10 J11 U2 U3", oracle="""
+WITH y AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders),
+a AS (SELECT o_custkey FROM y WHERE y = 1996),
+b AS (SELECT o_custkey FROM y WHERE y = 2000)
+SELECT o_custkey, 'both' AS membership FROM (SELECT o_custkey FROM b INTERSECT SELECT o_custkey FROM a)
+UNION ALL
+SELECT o_custkey, 'late_only' FROM (SELECT o_custkey FROM b EXCEPT SELECT o_custkey FROM a)
+""")
+def key_set_ops(spark, d):
+    """Entities present in both periods (intersection) and only in the late one (difference)."""
+    from tessera.operators.joins import key_except, key_intersect
+    o = table(spark, d, "orders", "o_custkey", "o_orderdate").withColumn("_y", F.year("o_orderdate"))
+    early, late = o.where(F.col("_y") == 1996), o.where(F.col("_y") == 2000)
+    both = key_intersect(late, early, "o_custkey").withColumn("membership", F.lit("both"))
+    only = key_except(late, early, "o_custkey").withColumn("membership", F.lit("late_only"))
+    return both.unionByName(only)
