@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import domain
-from tessera.functions.numeric import min_max_scaled, round_half_even, row_mean, row_sum, safe_ratio, stable_round
+from tessera.functions.numeric import min_max_scaled, row_mean, row_sum, safe_ratio, stable_round
 from tessera.operators.quality import to_long
 from tessera.operators.quantiles import exact_quantiles
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import round_half_even, safe_ratio, stable_round
+from tessera.functions import safe_ratio, stable_round
 from tessera.functions.codes import year_prefix
 from tessera.functions.text import normalize_name
 from tessera.operators import rollup as R
