@@ -256,3 +256,96 @@ def export_statements(model: dict) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ----------------------------------------------------------------------------- feature analysis and models
+
+def numeric_candidates(df: DataFrame, exclude=tuple(domain.NON_FEATURES), targets=tuple(domain.TARGETS),
+                       families=tuple(domain.FAMILIES)) -> list:
+    """Numeric columns that are neither identifiers, counts, targets nor family votes (sorted)."""
+    skip = set(exclude) | set(targets) | set(families)
+    return sorted(f.name for f in df.schema.fields
+                  if f.name not in skip and isinstance(f.dataType, T.NumericType))
+
+
+def feature_analysis(table: DataFrame, targets=tuple(domain.TARGETS), group_cols=("DEP", "annee"),
+                     period_col: str = "annee", periods=("2017", "2022"), forced=tuple(domain.FORCED_FEATURES),
+                     mi_threshold: float = domain.MI_MIN) -> dict:
+    """Audit -> drop unusable -> correlations -> collinearity pruning ->
+    imputation (group medians, chained equations on incomes) -> composites ->
+    log transforms -> final selection.  Returns the DataFrames of every stage
+    ('audit', 'correlations', 'clusters', 'composites', 'log_gate', 'mi',
+    'selection', 'final') and the final feature list under 'features'."""
+    from tessera.operators import impute as I
+    from tessera.operators import profile as P
+    from tessera.operators import select as S
+    from tessera.session import cut_lineage
+
+    targets = [t for t in targets if t in table.columns]
+    df = cut_lineage(table)
+    feats = numeric_candidates(df)
+    audit = cut_lineage(P.column_profile(df, feats, period_col, periods))
+    unusable = {r["feature"] for r in audit.where(F.col("statut") == "inutilisable").select("feature").collect()}
+    feats = [f for f in feats if f not in unusable]
+    corr = P.correlations(df, feats, targets)
+    clusters = P.prune_collinear(P.average_linkage_clusters(P.correlations(df, feats), feats))
+    kept = {r["feature"] for r in clusters.where("kept").select("feature").collect()}
+    feats = [f for f in feats if f in kept]
+    # imputation sees the un-pruned table, as the source does
+    med_cols = [c for c in ("TP6021", "crim_stupefiants") if c in df.columns]
+    if med_cols and all(g in df.columns for g in group_cols):
+        df = I.group_median_impute(df, med_cols, list(group_cols))
+    income = [c for c in domain.INCOME_FEATURES if c in df.columns]
+    if income:
+        df = I.chained_impute(df, income)
+    df = cut_lineage(df)
+    specs = reference_composites(df)
+    comps = S.composite_columns(df, specs)
+    gate = S.composite_gate(df, comps, targets, components={s[0]: s[2] for s in specs}) if specs else None
+    if gate is not None:
+        keep = [r["composite"] for r in gate.where("kept").collect()]
+        df = df.withColumns({k: comps[k] for k in keep})
+        feats += keep
+    log = S.log_gate(df, audit, feats)
+    rows = log.collect()
+    df = S.apply_log_gate(df, rows)
+    feats = [f"log1p_{f}" if any(r["feature"] == f and r["transformed"] for r in rows) else f for f in feats]
+    df = cut_lineage(df)
+    # selection view: features NULL -> 0, targets NULL -> their median (as the source)
+    sel_view = I.fill_with_medians(df.fillna(0.0, subset=feats), targets)
+    mi = S.binned_mutual_info(sel_view, feats, targets)
+    sel = S.select_features(mi, [f for f in forced if f in feats], mi_threshold)
+    chosen = [r["feature"] for r in sel.where("selected").collect()]
+    chosen = [f for f in feats if f in chosen]
+    final = df.select(*final_columns(df, chosen, targets))
+    return {"audit": audit, "correlations": corr, "clusters": clusters, "composites": gate, "log_gate": log,
+            "mi": mi, "selection": sel, "final": final, "features": chosen}
+
+
+def model_and_projection(final: DataFrame, features, targets=tuple(domain.TARGETS), key_cols=("CODGEO", "annee"),
+                         early: str = "2017", late: str = "2022", years=tuple(domain.PROJECTION_YEARS),
+                         families=None) -> dict:
+    """Compare the model families, refit the best on all rows, test
+    predictions, permutation importance, and model-based projections of the
+    targets for the next years.  Returns DataFrames: 'comparison', 'summary',
+    'predictions', 'importance', 'projections' and the best family name."""
+    from tessera.operators import model as MD
+    from tessera.operators.project import trend_projection
+    from tessera.session import cut_lineage
+
+    targets, features = list(targets), list(features)
+    comp, best, fitted, train, test = MD.compare_models(final, list(key_cols), features, targets,
+                                                        families=tuple(families or MD.FAMILIES))
+    ids = [c for c in ("CODGEO", "annee", "DEP", "lib_commune") if c in test.columns]
+    predictions = MD.test_predictions(fitted[best], test, ids, targets)
+    importance = MD.permutation_importance(fitted[best], test, list(key_cols), features, targets)
+    full = cut_lineage(MD.prepare(final, features, targets))
+    refit = MD.fit_models(full, features, targets, [best])[best]
+    meta = [c for c in ("DEP", "lib_commune") if c in final.columns]
+    proj = trend_projection(final, key_cols[0], key_cols[1], early, late, features, years, meta_cols=meta, digits=None)
+    pred = MD.predict(refit, proj)
+    projections = pred.select(key_cols[0], "annee_projetee",
+                              *[MD.round_half_even(f"p_{t}", 4).alias(t.replace("pct_", "pct_pred_")) for t in targets],
+                              *meta)
+    return {"comparison": comp, "summary": MD.summary(comp), "best": best, "predictions": predictions,
+            "importance": importance, "projections": projections, "models": refit}
