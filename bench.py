@@ -37,7 +37,7 @@ def main() -> int:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     only = [s for s in os.environ.get("BENCH_QUERIES", "").split(",") if s]
     include_models = os.environ.get("BENCH_MODELS", "0") == "1"
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus))),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     times: dict[str, float] = {}
     errors: dict[str, str] = {}
