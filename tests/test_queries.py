@@ -10,7 +10,7 @@ from tests.oracle_check import compare, duck
 import __spark_entry__ as entry_mod
 from tessera.plans import REGISTRY
 
-SLOW = {"model_compare"}
+SLOW = {"model_compare", "permutation_importance"}
 
 
 @pytest.fixture(scope="module")
