@@ -39,3 +39,12 @@ def test_entry_contract(spark):
     qs, ors = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(ors) <= set(qs)
     assert len(qs) >= 40
+
+
+def test_model_compare_shape(spark):
+    """3 families x 3 targets, finite scores, exactly one best family."""
+    rows = REGISTRY["model_compare"].build(spark, SF_SMALL).collect()
+    assert len(rows) == 9
+    assert {r["modele"] for r in rows} == {"Ridge", "Random Forest", "Gradient Boosting"}
+    assert all(r["r2"] is not None and r["r2"] <= 1 and r["mae"] >= 0 for r in rows)
+    assert len({r["modele"] for r in rows if r["best"]}) == 1
