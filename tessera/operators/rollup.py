@@ -159,8 +159,11 @@ def family_rollup(general: DataFrame, candidates: DataFrame, families: DataFrame
                    .withColumn("nom_norm", normalize_name(surname_col))
                    .withColumn("prenom_norm", normalize_name(firstname_col)))
     c = lookup_with_default(c, families, ["nom_norm", "prenom_norm"], "famille", unknown)
-    piv = pivot_sum(c, [year_col, place_col], "famille", list(family_values) + [unknown],
-                    vote_col, zero_fill=list(family_values))
+    # the pivot zero-fills every cell, the unknown bucket included; after the
+    # left join only the known families are zero-filled, so the unknown bucket
+    # stays NULL for places without any candidate row
+    values = list(family_values) + [unknown]
+    piv = pivot_sum(c, [year_col, place_col], "famille", values, vote_col, zero_fill=values)
     out = gen.join(piv, [year_col, place_col], "left")
     return out.fillna(0, subset=list(family_values))
 

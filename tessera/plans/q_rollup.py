@@ -87,7 +87,7 @@ piv AS (
          coalesce(sum(voix) FILTER (WHERE famille = 'alpha'), 0) AS alpha,
          coalesce(sum(voix) FILTER (WHERE famille = 'beta'), 0) AS beta,
          coalesce(sum(voix) FILTER (WHERE famille = 'gamma'), 0) AS gamma,
-         sum(voix) FILTER (WHERE famille = 'INCONNU') AS "INCONNU"
+         coalesce(sum(voix) FILTER (WHERE famille = 'INCONNU'), 0) AS "INCONNU"
   FROM votes GROUP BY 1, 2),
 roll AS (
   SELECT g.annee, g.place, CAST(g.n_orders AS BIGINT) AS n_orders, CAST(g.total_cents AS BIGINT) AS total_cents,
@@ -125,7 +125,7 @@ def lookup_default_pivot(spark, d):
               .withColumn("prenom_norm", normalize_name("l_linestatus")))
     c = R.lookup_with_default(c, families_df(spark), ["nom_norm", "prenom_norm"], "famille")
     return R.pivot_sum(c, ["annee", "place"], "famille", FLAG_FAMILIES + ["INCONNU"], "voix",
-                       zero_fill=FLAG_FAMILIES)
+                       zero_fill=FLAG_FAMILIES + ["INCONNU"])
 
 
 @query("unmapped_values", "V3", oracle="""

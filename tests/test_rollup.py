@@ -41,7 +41,7 @@ def test_family_rollup_shape_and_families(spark):
     rows = out.collect()
     assert len(rows) == 40
     assert {r["annee"] for r in rows} == {"2017", "2022"}
-    assert all(r["INCONNU"] is None for r in rows)            # every candidate mapped; unknown not zero-filled
+    assert all(r["INCONNU"] == 0 for r in rows)               # every candidate mapped; pivot cells zero-filled
     assert all(r["souverainisme"] == 0 for r in rows)         # absent family zero-filled
     assert all(r["nuls"] == 0 for r in rows)                  # -50 + 50 clipped sum stays >= 0
     assert all(r["liberalisme_centre"] > 0 and r["droite_nationale"] > 0 for r in rows)
@@ -90,3 +90,16 @@ def test_vintage_stack_rules(spark):
                         {"2017": domain.VINTAGE_SYNONYMS})
     got = {r["annee"]: (r["P_POP"], r["C_MEN_CELIBATAIRE"], r["MED21"]) for r in out.collect()}
     assert got == {"2022": (1.0, 2.0, 9.0), "2017": (3.0, 4.0, 9.0)}
+
+
+def test_unknown_bucket_null_only_without_candidates(spark):
+    g, c = elections(spark, 2)
+    extra = spark.createDataFrame([("2017_pres_t1", "99999", "0", 10, 1, 9, 0, 0, 9)],
+                                  "id_election string, code_commune string, code_bv string, inscrits long, "
+                                  "abstentions long, votants long, blancs long, nuls long, exprimes long")
+    fam = R.lookup_table(spark, domain.CANDIDATE_FAMILY, ["nom_norm", "prenom_norm"], "famille")
+    out = R.family_rollup(g.unionByName(extra), c, fam, place_col="code_commune", election_col="id_election",
+                          count_cols=["inscrits", "exprimes"], vote_col="voix", surname_col="nom",
+                          firstname_col="prenom", family_values=domain.FAMILIES)
+    got = {r["code_commune"]: (r["INCONNU"], r["ecologisme"]) for r in out.where("annee = '2017'").collect()}
+    assert got["99999"] == (None, 0) and got["10000"][0] == 0
