@@ -135,7 +135,10 @@ def first_per_key(df: DataFrame, key, order_cols, descending: bool = False) -> D
 
 
 def first_per_key_window(df: DataFrame, key, order) -> DataFrame:
-    """W3 variant with an arbitrary mixed-direction order (window row_number)."""
+    """W3 variant with an arbitrary mixed-direction order (window row_number).
+
+    The window sorts each key's rows in one task: use it only where groups
+    are bounded by design; :func:`first_per_key` is the skew-safe default."""
     key = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
