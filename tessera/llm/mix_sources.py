@@ -26,7 +26,7 @@ from tessera.llm.common import materialize
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 HASH_BITS = 60
-STEP_BITS = 12
+STEP_BITS = 20
 
 
 def text_size(text: Column) -> Column:

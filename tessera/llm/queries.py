@@ -109,7 +109,7 @@ from d left join n_hit using (k) left join items using (k)"""
 
 #: sizes, hash order and targets of the mix; used by the pipeline's SQL too
 MIX_SQL = r"""
-sized as (select *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
                  ('0x' || substr(md5(coalesce(doc_id::varchar, 'text:' || text, 'null')), 1, 15))::bigint as h from {docs}),
 sources as (select source, sum(size)::bigint as source_size, [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from sized group by source),
 capped as (  -- were all sources of a smaller cap by weight full, this much would be left for so much weight
