@@ -197,5 +197,8 @@ NON_FEATURES = ["CODGEO", "annee", "lib_commune", "DEP", "REG", "taux_abstention
                 "inscrits", "abstentions", "votants", "blancs", "nuls", "exprimes", "nb_associations",
                 "INCONNU", "NAISD17", "DECESD17", "NAISD22", "DECESD22"]
 IDENTIFIERS = ["CODGEO", "annee", "lib_commune", "DEP", "REG"]
+# --- fixed values: columns that are no candidates of the feature analysis (rates may be)
+NON_CANDIDATES = ["CODGEO", "annee", "lib_commune", "DEP", "REG", "inscrits", "abstentions", "votants", "blancs", "nuls",
+                  "exprimes", "nb_associations", "INCONNU", "NAISD17", "DECESD17", "NAISD22", "DECESD22"]
 AUXILIARY = ["taux_abstention", "taux_blancs_nuls"]
 MIN_POPULATION = 2000

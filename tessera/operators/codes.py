@@ -44,58 +44,41 @@ def merge_edges(movements: DataFrame, *, mod_col="MOD", date_col="DATE_EFF",
              .select("old_code", F.col("_w.new_code").alias("new_code")))
 
 
-def close_edges(edges: DataFrame, old_col="old_code", new_col="new_code",
-                max_rounds: int = 64) -> DataFrame:
+def close_edges(edges: DataFrame, old_col="old_code", new_col="new_code") -> DataFrame:
     """Transitive closure of a functional graph old -> new.
 
     Returns (old_code, new_code) where new_code is the terminal code of the
-    chain.  Members of cycles (and codes leading into them) are mapped to
-    the smallest code of their cycle component.
+    chain.  Members of cycles, and codes leading into them, are mapped to
+    the smallest code of the cycle.
+
+    Pointer doubling with the smallest code seen on the way: after k rounds a
+    pointer stands 2^k moves further and ``_low`` is the smallest code it
+    passed, its start left out.  Once 2^k reaches the number of edges, every
+    pointer that is not at a terminal stands on a cycle, and the ``_low`` of
+    the code it stands on has seen that whole cycle.
     """
     m = (edges.select(F.col(old_col).alias("old_code"), F.col(new_col).alias("new_code"))
               .where(F.col("old_code").isNotNull() & F.col("new_code").isNotNull()
                      & (F.col("old_code") != F.col("new_code"))))
-    m = cut_lineage(m.withColumn("_changed", F.lit(True)))
-    for _ in range(max_rounds):
-        nxt = m.alias("a").join(
-            m.select(F.col("old_code").alias("_k"), F.col("new_code").alias("_n")),
-            F.col("a.new_code") == F.col("_k"), "left")
-        nxt = nxt.select(
-            F.col("a.old_code").alias("old_code"),
-            F.coalesce(F.col("_n"), F.col("a.new_code")).alias("new_code"),
-            (F.col("_n").isNotNull() & (F.col("_n") != F.col("a.new_code"))).alias("_changed"))
-        m = cut_lineage(nxt)
-        if m.where("_changed").limit(1).count() == 0:
-            return m.drop("_changed")
-    # Still changing: the remaining codes sit in or lead into a cycle.
-    stuck = m.where("_changed").select("old_code", "new_code")
-    settled = m.where(~F.col("_changed")).select("old_code", "new_code")
-    return settled.unionByName(_min_label(stuck))
-
-
-def _min_label(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Map each node of ``edges`` to the minimum code of its undirected component."""
-    und = edges.select(F.col("old_code").alias("a"), F.col("new_code").alias("b")).unionByName(
-        edges.select(F.col("new_code").alias("a"), F.col("old_code").alias("b")))
-    lab = cut_lineage(und.groupBy("a").agg(F.min("b").alias("lab")).select("a", F.least("lab", "a").alias("lab")))
-    for _ in range(max_rounds):
-        prop = (und.join(lab.withColumnRenamed("a", "b").withColumnRenamed("lab", "lb"), "b")
-                   .groupBy("a").agg(F.min("lb").alias("lb")))
-        new = (lab.join(prop, "a", "left")
-                  .select("a", F.least("lab", F.coalesce("lb", "lab")).alias("lab"),
-                          (F.coalesce("lb", "lab") < F.col("lab")).alias("_c")))
-        new = cut_lineage(new)
-        lab = new.select("a", "lab")
-        if new.where("_c").limit(1).count() == 0:
-            break
-    return (edges.select("old_code").join(lab, edges.old_code == lab.a)
-                 .select("old_code", F.col("lab").alias("new_code")))
+    m = cut_lineage(m.withColumn("_low", F.col("new_code")))
+    left = m.count()
+    while True:
+        ahead = m.select(F.col("old_code").alias("_k"), F.col("new_code").alias("_n"), F.col("_low").alias("_l"))
+        step = m.join(ahead, F.col("new_code") == F.col("_k"), "left")
+        if left <= 0:
+            # on a cycle still: its smallest code
+            return step.select("old_code", F.coalesce("_l", "new_code").alias("new_code"))
+        step = cut_lineage(step.select("old_code", F.coalesce("_n", "new_code").alias("new_code"),
+                                       F.least("_low", F.coalesce("_l", "_low")).alias("_low"), F.col("_k").isNotNull().alias("_open")))
+        m = step.drop("_open")
+        if step.where("_open").isEmpty():
+            return m.select("old_code", "new_code")
+        left //= 2
 
 
 def merge_history_map(movements: DataFrame, **kw) -> DataFrame:
     """Merge movements -> closed (old_code, new_code) map."""
-    max_rounds = kw.pop("max_rounds", 64)
-    return close_edges(merge_edges(movements, **kw), max_rounds=max_rounds)
+    return close_edges(merge_edges(movements, **kw))
 
 
 def harmonize(df: DataFrame, col: str, code_map: DataFrame | None,

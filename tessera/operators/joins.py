@@ -6,8 +6,7 @@ shuffle join whose build side is measured below
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` is converted to a
 broadcast join at run time (a size-checked broadcast), and skewed shuffle
 partitions of the big side are split.  Explicit ``broadcast()`` is used
-only for literal tables whose size is fixed by construction, or behind
-:func:`broadcast_if_small`.
+only for literal tables whose size is fixed by construction.
 """
 
 from __future__ import annotations
@@ -20,14 +19,6 @@ from pyspark.sql import functions as F
 from tessera.operators.codes import first_per_key
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows
-    (checked with a bounded ``limit(max_rows + 1).count()``); otherwise
-    return it unchanged for a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
     """V5/V7: keys occurring more than once, with their multiplicity."""
     keys = [keys] if isinstance(keys, str) else list(keys)

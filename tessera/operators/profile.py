@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tessera import domain
 from tessera.functions.codes import priority_from_prefix
-from tessera.functions.numeric import round_half_even, stable_round, status_rule
+from tessera.functions.numeric import nan_to_null, round_half_even, stable_round, status_rule
 from tessera.operators.joins import top_n_per_group
 from tessera.operators.quality import to_long
 from tessera.session import cut_lineage
@@ -36,8 +36,9 @@ def column_profile(df: DataFrame, features, period_col: str | None = None, perio
     (g1, 0.0 when fewer than 3 values), NULL %, NULL % per period, zero %, status."""
     ids = [period_col] if period_col else []
     long = to_long(df, features, ids)
+    long = long.withColumn("value", nan_to_null("value"))
     v = F.col("value")
-    isnull = F.when(v.isNull() | F.isnan(v), 1.0).otherwise(0.0)
+    isnull = F.when(v.isNull(), 1.0).otherwise(0.0)
     aggs = [
         stable_round(F.avg(v), digits).alias("mean"),
         stable_round(F.stddev_samp(v), digits).alias("std"),
@@ -49,8 +50,10 @@ def column_profile(df: DataFrame, features, period_col: str | None = None, perio
         aggs.append(round_half_even(F.avg(F.when(F.col(period_col).cast("string") == str(p), isnull)) * 100, 1)
                     .alias(f"nan_pct_{p}"))
     aggs.append(round_half_even(F.avg(F.when(v == 0, 1.0).otherwise(0.0)) * 100, 1).alias("zero_pct"))
+    # the status looks at the values as they are, not at the rounded ones
+    aggs += [(F.avg(isnull) * 100).alias("_null_pct"), F.when(F.count(v) > 2, F.skewness(v)).otherwise(F.lit(0.0)).alias("_skewness")]
     prof = long.groupBy("feature").agg(*aggs)
-    return prof.withColumn("statut", status_rule("nan_pct", "skewness", max_null_pct, skew_limit))
+    return prof.withColumn("statut", status_rule("_null_pct", "_skewness", max_null_pct, skew_limit)).drop("_null_pct", "_skewness")
 
 
 # ----------------------------------------------------------------------------- correlation
@@ -93,7 +96,7 @@ def pair_moments(df: DataFrame, cols, pairs) -> DataFrame:
     column indexes: n, sum x, sum y, sum x^2, sum y^2, sum xy (values centred
     by the column's global mean)."""
     cols = list(cols)
-    sel = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    sel = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in cols])
     means_row = sel.agg(*[F.avg(c).alias(c) for c in cols]).first()
     means = [float(means_row[c]) if means_row[c] is not None else 0.0 for c in cols]
     part = sel.mapInPandas(_gram_partials(cols, means, pairs), _MOMENTS)
@@ -144,8 +147,7 @@ def top_k(corr: DataFrame, k: int = 5, group: str = "target", item: str = "featu
 
 # ----------------------------------------------------------------------------- collinearity
 
-def average_linkage_clusters(pairs: DataFrame, features, cut: float = domain.COLLINEARITY_CUT,
-                             max_rounds: int = 200) -> DataFrame:
+def average_linkage_clusters(pairs: DataFrame, features, cut: float = domain.COLLINEARITY_CUT) -> DataFrame:
     """M4: flat clusters of average linkage on d = 1 - |r| (NULL r -> d = 1),
     cut at distance ``cut``.
 
@@ -164,7 +166,7 @@ def average_linkage_clusters(pairs: DataFrame, features, cut: float = domain.COL
     d = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
     d = cut_lineage(d)
     member = cut_lineage(idx.select(F.col("k").alias("m"), F.col("k").alias("c")))
-    for _ in range(max_rounds):
+    while True:  # each round merges clusters or is the last
         ma = member.select(F.col("m").alias("a"), F.col("c").alias("ca"))
         mb = member.select(F.col("m").alias("b"), F.col("c").alias("cb"))
         cd = (d.join(ma, "a").join(mb, "b").where(F.col("ca") != F.col("cb"))

@@ -260,7 +260,7 @@ def export_statements(model: dict) -> DataFrame:
 
 # ----------------------------------------------------------------------------- feature analysis and models
 
-def numeric_candidates(df: DataFrame, exclude=tuple(domain.NON_FEATURES), targets=tuple(domain.TARGETS),
+def numeric_candidates(df: DataFrame, exclude=tuple(domain.NON_CANDIDATES), targets=tuple(domain.TARGETS),
                        families=tuple(domain.FAMILIES)) -> list:
     """Numeric columns that are neither identifiers, counts, targets nor family votes (sorted)."""
     skip = set(exclude) | set(targets) | set(families)

@@ -61,14 +61,17 @@ def insert_statements(df: DataFrame, table_name: str, order_cols, batch_rows: in
 
 
 def write_sql_script(statements: DataFrame, path: str, ddl: str = "") -> None:
-    """K3 file: DDL, BEGIN, statements in (table order, batch) order, COMMIT.
-    Written as text by Spark (one ordered single file for small exports)."""
+    """K3 script: DDL, BEGIN, statements in (table order, batch) order, COMMIT.
+    Written as text by Spark: a range sort gives part files whose names are in
+    statement order, so no task writes a whole fact table.  ``table_order`` is
+    a column of the statements (parents first); without it, one table."""
     spark = statements.sparkSession
+    order = (F.col("table_order") if "table_order" in statements.columns else F.lit(0)).cast("int")
     parts = [spark.createDataFrame([(0, 0, ddl + "BEGIN;\n")], "t int, b long, statement string")]
-    parts.append(statements.select(F.lit(1).alias("t"), F.col("batch").alias("b"), "statement"))
-    parts.append(spark.createDataFrame([(2, 0, "COMMIT;")], "t int, b long, statement string"))
+    parts.append(statements.select((order + 1).alias("t"), F.col("batch").alias("b"), "statement"))
+    parts.append(spark.createDataFrame([(2**31 - 1, 0, "COMMIT;")], "t int, b long, statement string"))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("t", "b")
-    out.select("statement").coalesce(1).write.mode("overwrite").text(path)
+    out.select("statement").write.mode("overwrite").text(path)
 
 
 def save_models(models: dict, path: str) -> None:

@@ -16,7 +16,7 @@ def test_exact_quantiles_sort_path_equals_percentile(spark):
     rows += [("a", float("nan")), ("b", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.1, 0.5, 0.9]
-    mine = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, ["g"], "v", probs, in_memory_rows=0).collect()}
+    mine = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
     ref = df.where(~F.isnan("v")).groupBy("g").agg(F.percentile("v", probs).alias("p")).collect()
     for r in ref:
         for i, p in enumerate(r["p"]):

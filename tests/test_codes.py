@@ -1,5 +1,7 @@
 """Merge history and harmonisation: the reference's unit cases plus cycles and duplicates."""
 
+import pytest
+
 from tessera.operators.codes import close_edges, first_per_key, harmonize, merge_history_map
 
 MVT = "MOD int, DATE_EFF string, TYPECOM_AV string, TYPECOM_AP string, COM_AV string, COM_AP string"
@@ -32,14 +34,23 @@ def test_duplicate_old_code_latest_wins(spark):
 
 def test_cycle_maps_to_minimum(spark):
     e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "A")], "old_code string, new_code string")
-    m = as_map(close_edges(e, max_rounds=4))
+    m = as_map(close_edges(e))
     assert m == {"A": "A", "B": "A", "C": "A", "D": "A"}
 
 
+@pytest.mark.parametrize("size", [2, 4, 6, 7])
+def test_cycles_and_tails(spark, size):
+    cycle = [(f"c{i}", f"c{(i + 1) % size}") for i in range(size)]
+    tails = [("a0", "a1"), ("a1", f"c{size - 1}"), ("b0", "c1"), ("x", "y"), ("y", "z")]
+    e = spark.createDataFrame(cycle + tails, "old_code string, new_code string")
+    m = as_map(close_edges(e))
+    assert m == {f"c{i}": "c0" for i in range(size)} | {"a0": "c0", "a1": "c0", "b0": "c0", "x": "z", "y": "z"}
+
+
 def test_long_chain_pointer_doubling(spark):
-    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)], "old_code string, new_code string")
+    e = spark.createDataFrame([(str(i), str(i + 1)) for i in range(150)], "old_code string, new_code string")
     m = as_map(close_edges(e))
-    assert set(m.values()) == {"40"} and len(m) == 40
+    assert set(m.values()) == {"150"} and len(m) == 150
 
 
 def test_harmonize(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.features import recompute_targets
-from tessera.operators.joins import broadcast_if_small, duplicate_keys, enrich
+from tessera.operators.joins import duplicate_keys, enrich
 from tessera.operators.model import top_importances
 from tessera.operators.quality import complete_enough, distinct_sorted, residual_string_columns
 from tessera.operators.reshape import optional_col, ordered_unique, select_existing
@@ -24,14 +24,6 @@ def test_enrich_duplicate_policies(spark):
     assert [r["k"] for r in duplicate_keys(right, "k").collect()] == ["a"]
 
 
-def test_broadcast_if_small(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    plan_small = big.join(broadcast_if_small(small, 50), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan_small
-    assert broadcast_if_small(big, 50) is big
-
-
 def test_schema_helpers(spark):
     df = spark.createDataFrame([("01001", 1.0, "x", 2.0)], "CODGEO string, P_POP double, lib string, BPE_A double")
     sel, missing = select_existing(df, ["CODGEO", "P_POP", "P_MEN"], prefixes=["BPE_"])

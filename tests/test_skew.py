@@ -25,12 +25,19 @@ def skewed(spark):
 def test_quantiles_sort_path_hot_group(skewed):
     pdf, df = skewed
     got = {(r["k"], r["q"]): r["value"] for r in
-           exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.9], in_memory_rows=0).collect()}
+           exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.9]).collect()}
     ref = pdf.groupby("k")["v"].quantile([0.1, 0.5, 0.9])
     for (k, p), val in ref.items():
         assert got[(k, [0.1, 0.5, 0.9].index(p))] == pytest.approx(val, abs=1e-9)
 
 
+def test_quantiles_hot_value(spark):
+    """One value in 90 % of the rows is one counted row, whatever the partition."""
+    df = spark.range(20000).selectExpr("cast(null as string) as k", "if(id % 10 > 0, 5.0, id / 7.0) as v")
+    got = [r["value"] for r in exact_quantiles(df, ["k"], "v", [0.0, 0.05, 0.5, 1.0]).orderBy("q").collect()]
+    assert got == pytest.approx(df.agg(F.percentile("v", [0.0, 0.05, 0.5, 1.0])).first()[0])
+
+
 def test_sums_and_share_hot_key(skewed):
     pdf, df = skewed
     s = {r["k"]: r["v"] for r in sum_measures(df, ["k"], ["v"]).collect()}
