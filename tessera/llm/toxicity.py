@@ -44,10 +44,12 @@ LANDMARKS = 256
 ROUNDS = 3
 WITNESSES = 4
 NEGATIVES = 8_000
-SAMPLE_PER_LABEL = 1200
+SAMPLE_PER_LABEL = 600
 THRESHOLD = 0.5
 #: scored words kept per task (speed only)
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
+#: words whose subsequences are laid out at once
+BLOCK_WORDS = 20_000
 
 _SPELLED = re.compile(rb"(?:(?<![0-9a-z\x80-\xff])[a-z][^0-9a-z\x80-\xff\n]{1,2}){3,}[a-z](?![0-9a-z\x80-\xff])")
 
@@ -104,15 +106,19 @@ class WordMachine:
         x = np.zeros((len(words), root.shape[1]))
         order = np.argsort(who[known], kind="stable")
         w_known, a_known, v_known = who[known][order], at[known][order], weight[known][order]
-        for a in range(0, len(w_known), 200_000):
-            np.add.at(x, w_known[a:a + 200_000], project[a_known[a:a + 200_000]] * v_known[a:a + 200_000, None])
+        for a in range(0, len(w_known), BLOCK_WORDS):
+            np.add.at(x, w_known[a:a + BLOCK_WORDS], project[a_known[a:a + BLOCK_WORDS]] * v_known[a:a + BLOCK_WORDS, None])
         beta, self.bias = _squared_hinge(x, y, cost)
         self.table = np.zeros(TABLE, np.float32)
         self.table[slots] = project @ beta
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        who, slot, weight = subsequences(words)
-        return np.bincount(who, self.table[slot] * weight, len(words)) + self.bias
+        out = [np.zeros(0)]
+        for a in range(0, len(words), BLOCK_WORDS):
+            block = words[a:a + BLOCK_WORDS]
+            who, slot, weight = subsequences(block)
+            out.append(np.bincount(who, self.table[slot] * weight, len(block)) + self.bias)
+        return np.concatenate(out)
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -161,15 +167,16 @@ class Model:
         df_toxic, df_clean = Counter(), Counter()
         for t in toxic:
             df_toxic.update(set().union(*map(_parts, t)))
+        df_toxic = Counter({p: k for p, k in df_toxic.items() if k >= 2})
         for t in clean:
-            df_clean.update(set().union(*map(_parts, t)))
+            df_clean.update({p for w in t for p in _parts(w) if p in df_toxic})
         n, m = len(toxic), len(clean)
 
         def contrast(part: bytes) -> float:
             p, q = (df_toxic[part] + 0.5) / (n + 1), (df_clean[part] + 0.5) / (m + 1)
             return (p - q) / np.sqrt((p + q) / 2 * (1 / n + 1 / m)) + np.log(p / q)
 
-        part_score = {p: contrast(p) for p, k in df_toxic.items() if k >= 2}
+        part_score = {p: contrast(p) for p in df_toxic}
         df_word = Counter(w for t in clean for w in t)
         negatives = sorted(df_word, key=lambda w: zlib.crc32(w))[:NEGATIVES]
         score = {w: max(part_score.get(p, -9.0) for p in _parts(w)) for t in toxic for w in t}
@@ -189,9 +196,7 @@ class Model:
             self.machine = WordMachine(positives, against, cost)
             own = list(score)
             score, least = dict(zip(own, self.machine.scores(own))), 0.0
-        every = sorted(set().union(*texts)) if texts else []
-        known = dict(zip(every, self.machine.scores(every))) if every else {}
-        x = np.array([self.features([known[w] for w in t.elements()], sum(t.values())) for t in texts])
+        x = np.array([self.features(np.repeat(self.machine.scores(list(t)), list(t.values())).tolist(), sum(t.values())) for t in texts])
         self.spread = np.maximum(x.std(0), 1e-6)
         self.logistic = _logistic(x / self.spread, y)
 
@@ -233,8 +238,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if len(cache) + len(new) > CACHE_WORDS:
                 cache.clear()
                 new = list(set().union(*texts))
-            for a in range(0, len(new), 50_000):
-                cache.update(zip(new[a:a + 50_000], model.machine.scores(new[a:a + 50_000]).tolist()))
+            cache.update(zip(new, model.machine.scores(new).tolist()))
             x = np.array([model.features([cache[w] for w in t], len(t)) for t in texts])
             return cols | {"_toxic_score": model.score(x)}
         return step
