@@ -39,7 +39,7 @@ def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, pa
                   extensions=tuple(domain.LINK_FILE_EXTENSIONS), text_marker=domain.LINK_TEXT_MARKER,
                   href_marker=domain.LINK_HREF_MARKER) -> DataFrame:
     """Every anchor of every page, resolved and de-duplicated per page
-    (first occurrence), with the download rule and the pattern rule:
+    (a URL is a download if any of its anchors is), with the download rule and the pattern rule:
 
     is_download = href ends with a data extension, or the anchor text
                   contains the text marker, or the href contains the href marker
@@ -58,8 +58,8 @@ def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, pa
     is_dl = is_file | F.lower(text).contains(text_marker) | hl.contains(href_marker)
     x = x.select(id_col, "ordinal", href.alias("href"), text.alias("anchor"),
                  resolve_url(F.col("_base"), href).alias("url"), is_dl.alias("is_download"))
-    # ordered de-duplication of absolute URLs per page: first occurrence wins
-    first = x.groupBy(id_col, "url").agg(F.min(F.struct("ordinal", "href", "anchor", "is_download")).alias("_f"))
+    # ordered de-duplication of absolute URLs per page: the first download link wins, else the first link
+    first = x.groupBy(id_col, "url").agg(F.min(F.struct((~F.col("is_download")).alias("_not"), "ordinal", "href", "anchor", "is_download")).alias("_f"))
     x = first.select(id_col, F.col("_f.ordinal").alias("ordinal"), "url", F.col("_f.href").alias("href"),
                      F.col("_f.anchor").alias("anchor"), F.col("_f.is_download").alias("is_download"))
     ul = F.lower(F.col("url"))
