@@ -5,6 +5,7 @@ HTML parser, no per-row Python."""
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,27 +13,66 @@ from pyspark.sql import functions as F
 from tessera import domain
 from tessera.operators.joins import any_per_group, top_n_per_group
 
-# <a ... href="..." ...>anchor</a>; script/style/comment blocks are removed first.
-ANCHOR_RE = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
+# <a ... href=... ...>anchor</a>, the value in double quotes, single quotes or none;
+# script/style/comment blocks are removed first.
+ANCHOR_RE = r"""(?is)<a\s(?:[^>]*?[\s"'])?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
 NON_MARKUP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TAG_RE = r"<[^>]*>"
+ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
+
+
+def decode_entities(c: Column) -> Column:
+    """HTML character references as text: decimal, hexadecimal and named (HTML 4)
+    ones that end with a semicolon; what is no reference stays as it is."""
+    names = F.map_from_arrays(F.lit(["apos", *name2codepoint]), F.lit(["'", *map(chr, name2codepoint.values())]))
+
+    def number(x: Column, pattern: str, base: int) -> Column:
+        digits = F.regexp_extract(x, pattern, 1)
+        return F.when(digits != "", F.conv(digits, base, 10).cast("int"))
+
+    def piece(x: Column) -> Column:
+        code = F.coalesce(number(x, r"^&#([0-9]{1,7});", 10), number(x, r"^&#[xX]([0-9a-fA-F]{1,6});", 16))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        sign = (F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+                 .when(code.isNotNull(), F.lit("�"))
+                 .otherwise(F.try_element_at(names, F.regexp_extract(x, r"^&(\w+);", 1))))
+        return F.when(sign.isNull(), x).otherwise(F.concat(sign, F.regexp_replace(x, r"^&#?\w+;", "")))
+
+    return F.array_join(F.transform(F.split(c, "(?=&)"), piece), "")
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and empty inner segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda x: x != "")
+
+    def add(kept: Column, x: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(F.concat(inner, F.array(last)), F.array().cast("array<string>"), add)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute URL of ``href`` relative to ``base`` (scheme-relative, root-
-    relative, query-only, fragment-only and path-relative forms)."""
+    relative, query-only, fragment-only and path-relative forms; dot segments
+    of relative paths are resolved)."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    origin = F.regexp_extract(base, ORIGIN_RE, 1)
     no_frag = F.regexp_extract(base, r"^([^#]*)", 1)
     no_query = F.regexp_extract(base, r"^([^?#]*)", 1)
-    base_dir = F.regexp_extract(no_query, r"^(.*/)", 1)
+    folder = F.regexp_extract(F.regexp_replace(no_query, ORIGIN_RE, ""), r"^(.*/)", 1)
+    path, tail = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.when(href.startswith("/"), path).when(folder == "", F.concat(F.lit("/"), path)).otherwise(F.concat(folder, path))
     return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
              .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-             .when(href.startswith("/"), F.concat(origin, href))
              .when(href.startswith("?"), F.concat(no_query, href))
              .when(href.startswith("#"), F.concat(no_frag, href))
              .when(href == "", base)
-             .otherwise(F.concat(F.when(base_dir == "", F.concat(origin, F.lit("/"))).otherwise(base_dir), href)))
+             .otherwise(F.concat(origin, normal_path(full), tail)))
 
 
 def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, patterns=(),
@@ -48,11 +88,12 @@ def harvest_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, pa
     """
     clean = F.regexp_replace(F.col(html_col), NON_MARKUP_RE, "")
     x = pages.select(F.col(id_col), F.col(url_col).alias("_base"),
-                     F.regexp_extract_all(clean, F.lit(ANCHOR_RE), 1).alias("_h"),
-                     F.regexp_extract_all(clean, F.lit(ANCHOR_RE), 2).alias("_t"))
-    x = x.select(id_col, "_base", F.posexplode(F.arrays_zip("_h", "_t")).alias("ordinal", "_a"))
-    href = F.col("_a._h")
-    text = F.trim(F.regexp_replace(F.col("_a._t"), TAG_RE, ""))
+                     *[F.regexp_extract_all(clean, F.lit(ANCHOR_RE), k).alias(n) for k, n in enumerate(("_q2", "_q1", "_q0", "_t"), 1)])
+    x = x.select(id_col, "_base", F.posexplode(F.arrays_zip("_q2", "_q1", "_q0", "_t")).alias("ordinal", "_a"))
+    # one of the three value forms is filled
+    x = x.select(id_col, "_base", "ordinal", F.trim(decode_entities(F.concat("_a._q2", "_a._q1", "_a._q0"))).alias("_href"),
+                 F.regexp_replace(decode_entities(F.regexp_replace("_a._t", TAG_RE, "")), r"^[\s\u00a0]+|[\s\u00a0]+$", "").alias("_text"))
+    href, text = F.col("_href"), F.col("_text")
     hl = F.lower(href)
     is_file = reduce(lambda a, b: a | b, [hl.endswith(e) for e in extensions])
     is_dl = is_file | F.lower(text).contains(text_marker) | hl.contains(href_marker)
