@@ -6,6 +6,8 @@ strings (codes keep their leading zeros) and cleaned by the C* functions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,21 +19,46 @@ def read_parquet(spark: SparkSession, path: str, cols=None) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def _delimited(spark: SparkSession, sep: str, encoding: str):
+    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("escape", '"').option("mode", "PERMISSIVE"))
+
+
 def header(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> list:
-    """Column names of a delimited file from its first line only."""
-    first = spark.read.option("encoding", encoding).text(path).limit(1).first()
-    return [] if first is None else [c.strip().strip('"') for c in first[0].split(sep)]
+    """Column names of a delimited file, by the CSV reader (quotes and a
+    byte order mark are its business); it reads the first line only."""
+    return [c.strip() for c in _delimited(spark, sep, encoding).csv(path).columns]
+
+
+def part_files(spark: SparkSession, path: str) -> list:
+    """Paths of the files of a folder or glob (names only, contents stay unread)."""
+    return sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", cols=None, header_cols=None,
-                   encoding: str = "UTF-8") -> DataFrame:
+                   encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
     """Delimited text with a header, every column a string (no
-    inference), optional projection.  ``path`` may be a folder or glob: one
-    scan over all parts (S6)."""
-    names = header_cols or header(spark, path, sep, encoding)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
+    inference), optional projection.  ``path`` may be a folder or glob (S6):
+    every part is read by its own header (one small job a file), parts of the
+    same header in one scan, and the scans are united by column name; a column
+    that a part lacks is NULL there.  ``header_cols`` names the columns of all
+    parts by position instead.  ``multiline`` allows line breaks in quotes, at
+    the price of unsplit files."""
+    reader = _delimited(spark, sep, encoding).option("multiLine", multiline)
+    if header_cols:
+        by_header = {tuple(header_cols): [path]}
+    else:
+        by_header = {}
+        for f in part_files(spark, path):
+            by_header.setdefault(tuple(header(spark, f, sep, encoding)), []).append(f)
+    scans = []
+    for names, files in by_header.items():
+        if names:  # an empty file has no columns and no rows
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+            scans.append(reader.schema(schema).csv(files))
+    if not scans:
+        raise ValueError(f"no delimited file with a header under {path}")
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     return df.select(*cols) if cols else df
 
 

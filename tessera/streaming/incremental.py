@@ -1,37 +1,28 @@
 """Incremental staging (S10 re-aimed to Structured Streaming).
 
 The source pipeline skips files already loaded (manifest of hashes) and
-stages only new ones.  The same contract is a file-stream source: the
-streaming checkpoint records which files were processed, so each run with
-``trigger(availableNow=True)`` stages exactly the new files, survives
-restarts and executor loss, and never re-reads old files.  The checkpoint
-lives under the session's shared ``spark.checkpoint.dir``.
+stages only new ones.  The same contract is a file-stream source written by
+the file sink: the streaming checkpoint records which files were processed
+and the sink's log which part files count, so each run with
+``trigger(availableNow=True)`` stages exactly the new files, a retried batch
+leaves nothing twice, and a later application that names the same checkpoint
+goes on where this one stopped.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import checkpoint_dir
-
-
-def stream_checkpoint(spark: SparkSession, name: str) -> str:
-    base = checkpoint_dir(spark)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a shared folder for streaming checkpoints")
-    return os.path.join(base, "streams", name)
 
-
-def stage_new_files(spark: SparkSession, source_glob: str, target_dir: str, schema: T.StructType, name: str,
+def stage_new_files(spark: SparkSession, source_glob: str, target_dir: str, schema: T.StructType, checkpoint: str,
                     fmt: str = "parquet", transform=None, options: dict | None = None,
                     partition_by=None, max_files_per_trigger: int | None = None) -> int:
     """Append every not-yet-processed file under ``source_glob`` to ``target_dir``
-    (parquet), tagging each row with its source file.  Returns the number of
-    rows staged by this run."""
+    (parquet), tagging each row with its source file.  ``checkpoint`` is a fixed
+    folder in shared storage, one per target.  Returns the number of rows this
+    run read from new files."""
     reader = spark.readStream.format(fmt).schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
@@ -40,17 +31,15 @@ def stage_new_files(spark: SparkSession, source_glob: str, target_dir: str, sche
     src = reader.load(source_glob).withColumn("_source_file", F.col("_metadata.file_path"))
     if transform is not None:
         src = transform(src)
-    staged = {"rows": 0}
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        w = batch.write.mode("append")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(target_dir)
-        staged["rows"] += batch.count()
-
-    q = (src.writeStream.foreachBatch(write_batch)
-            .option("checkpointLocation", stream_checkpoint(spark, name))
-            .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return staged["rows"]
+    w = (src.writeStream.format("parquet").option("path", target_dir)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    q = w.start()
+    rows: dict = {}
+    while True:  # only the latest batches are kept by the query, so they are read as it goes
+        ended = q.awaitTermination(1)
+        for p in q.recentProgress:
+            rows[p.batchId] = max(p.numInputRows, rows.get(p.batchId, 0))
+        if ended:
+            return sum(rows.values())

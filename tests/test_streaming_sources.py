@@ -1,6 +1,9 @@
 """Incremental staging, file inventory / manifest, delimited sources and sinks."""
 
 import os
+import shutil
+import subprocess
+import sys
 import tempfile
 
 from pyspark.sql import functions as F
@@ -15,10 +18,35 @@ def test_incremental_staging_skips_processed_files(spark):
     src = "/root/testdata/sf0.001/region*.parquet"
     schema = spark.read.parquet("/root/testdata/sf0.001/region.parquet").schema
     out = tempfile.mkdtemp(prefix="tessera-stage-", dir="/tmp")
-    first = stage_new_files(spark, src, out, schema, name=os.path.basename(out))
-    second = stage_new_files(spark, src, out, schema, name=os.path.basename(out))
+    first = stage_new_files(spark, src, out + "/rows", schema, out + "/checkpoint")
+    second = stage_new_files(spark, src, out + "/rows", schema, out + "/checkpoint")
     assert first == 5 and second == 0
-    assert spark.read.parquet(out).count() == 5
+    assert spark.read.parquet(out + "/rows").count() == 5
+
+
+def test_incremental_staging_in_a_second_application(spark):
+    """The checkpoint is the named folder, so another application stages only what is new."""
+    d = tempfile.mkdtemp(prefix="tessera-stage2-", dir="/tmp")
+    shutil.copytree("/root/testdata/sf0.001", d + "/in", ignore=lambda _, names: [n for n in names if n != "region.parquet"])
+    code = ("import sys; from tessera.session import build_session; from tessera.streaming.incremental import stage_new_files as s;"
+            "spark = build_session('local[2]', 2); d = sys.argv[1];"
+            "print('staged', s(spark, d + '/in/*.parquet', d + '/rows', spark.read.parquet(d + '/in/region.parquet').schema, d + '/checkpoint'))")
+    said = []
+    for _ in range(2):
+        said.append(subprocess.run([sys.executable, "-c", code, d], capture_output=True, text=True, timeout=300,
+                                   cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split()[-2:])
+    assert said == [["staged", "5"], ["staged", "0"]]
+    assert spark.read.parquet(d + "/rows").count() == 5
+
+
+def test_parts_with_other_column_order_are_read_by_name(spark):
+    d = tempfile.mkdtemp(prefix="tessera-parts-", dir="/tmp")
+    for name, text in (("a.csv", "k;v\nx;1\n"), ("b.csv", "v;k\n2;y\n"), ("c.csv", '﻿"k";w\n"z ""q"" ; z";3\n')):
+        with open(f"{d}/{name}", "w") as fh:
+            fh.write(text)
+    df = S.read_delimited(spark, d)
+    assert df.columns == ["k", "v", "w"]
+    assert sorted(map(tuple, df.collect())) == [("x", "1", None), ("y", "2", None), ('z "q" ; z', None, "3")]
 
 
 def test_manifest_status(spark):
