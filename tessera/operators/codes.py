@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera import domain
 from tessera.functions.codes import has_no_prefix
@@ -115,13 +114,3 @@ def first_per_key(df: DataFrame, key, order_cols, descending: bool = False) -> D
     return (df.groupBy(*key).agg(agg.alias("_first"))
               .select(*key, *[F.col(f"_first.{c}").alias(c) for c in order_cols + rest])
               .select(*df.columns))
-
-
-def first_per_key_window(df: DataFrame, key, order) -> DataFrame:
-    """W3 variant with an arbitrary mixed-direction order (window row_number).
-
-    The window sorts each key's rows in one task: use it only where groups
-    are bounded by design; :func:`first_per_key` is the skew-safe default."""
-    key = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

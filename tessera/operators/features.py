@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import domain
-from tessera.functions.numeric import all_or_total, round_half_even, safe_ratio
+from tessera.functions.numeric import all_or_total, safe_ratio
 
 
 @dataclass
@@ -107,7 +107,3 @@ def recompute_targets(df: DataFrame, families=tuple(domain.FAMILIES), total: str
     if missing and strict:
         raise ValueError(f"missing targets: {missing}")
     return out
-
-
-def rounded(df: DataFrame, cols, digits: int) -> DataFrame:
-    return df.withColumns({c: round_half_even(c, digits) for c in cols})

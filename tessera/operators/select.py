@@ -111,9 +111,12 @@ def composite_gate(df: DataFrame, composites: dict, targets, bins: int = 10,
     targets = list(targets)
     spark = df.sparkSession
     wide = df.withColumns(composites)
-    cols = list(dict.fromkeys(list(components) + [c for cs in components.values() for c in cs]))
-    mi = binned_mutual_info(wide, cols, targets, bins, digits=12)
-    links = spark.createDataFrame([(k, c) for k, cs in components.items() for c in cs], "composite string, feature string")
+    # a component is scored on the rows of its composite
+    of = {(k, c): f"{k}|{c}" for k, cs in components.items() for c in cs}
+    has = {k: F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double")) for k in components}
+    wide = wide.withColumns({name: F.when(has[k], F.col(c)) for (k, c), name in of.items()})
+    mi = binned_mutual_info(wide, [*components, *of.values()], targets, bins, digits=12)
+    links = spark.createDataFrame([(k, name) for (k, _), name in of.items()], "composite string, feature string")
     base = (mi.join(F.broadcast(links), "feature").groupBy("composite", "target")
               .agg(F.max("mi").alias("mi_base")))
     own = (mi.where(F.col("n") >= min_rows)

@@ -47,13 +47,6 @@ def clean_registry(rna: DataFrame, code_col: str = "adrs_codeinsee", created: st
     return r.distinct() if dedupe == "full_row" else r.dropDuplicates(list(dedupe))
 
 
-def cleaning_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """D4 report: rows before / after / removed (one job each side)."""
-    b = before.agg(F.count(F.lit(1)).alias("before"), F.lit(1).alias("_k"))
-    a = after.agg(F.count(F.lit(1)).alias("after"), F.lit(1).alias("_k"))
-    return b.join(a, "_k").select("before", "after", (F.col("before") - F.col("after")).alias("removed"))
-
-
 # ----------------------------------------------------------------------------- aggregations
 
 def families_table(spark, mapping=None) -> DataFrame:

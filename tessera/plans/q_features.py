@@ -109,7 +109,7 @@ FROM e LEFT JOIN fs ON fs.annee = e.annee AND CAST(fs.place AS INTEGER) = e.c_na
 """
 
 
-query("ratio_features", "D10 C11 C15 C16 C17 P5 D11", oracle=_features_sql())(analytical_table)
+query("ratio_features", "D10 C11 C15 C16 C17 P5", oracle=_features_sql())(analytical_table)
 
 
 @query("completeness", "A13 A14", oracle=f"""
