@@ -161,28 +161,27 @@ def fanout(spark, d):
 
 def star_checks(spark, d):
     t = lambda name, *c: table(spark, d, name, *c)
+    region, nation = t("region", "r_regionkey"), t("nation", "n_nationkey")
     return [
-        Q.pk_violations("pk_region", t("region", "r_regionkey"), "r_regionkey"),
-        Q.pk_violations("pk_nation", t("nation", "n_nationkey"), "n_nationkey"),
-        Q.pk_violations("pk_customer", t("customer", "c_custkey"), "c_custkey"),
-        Q.pk_violations("pk_supplier", t("supplier", "s_suppkey"), "s_suppkey"),
-        Q.pk_violations("pk_part", t("part", "p_partkey"), "p_partkey"),
-        Q.pk_violations("pk_orders", t("orders", "o_orderkey"), "o_orderkey"),
-        Q.pk_violations("pk_lineitem", t("lineitem", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]),
+        Q.table_checks(region, "pk_region", "r_regionkey"),
+        Q.table_checks(nation, "pk_nation", "n_nationkey"),
+        Q.table_checks(t("customer", "c_custkey", "c_name", "c_acctbal"), "pk_customer", "c_custkey",
+                       {"nn_customer_name": F.col("c_name").isNull(), "range_customer_acctbal_8_2": Q.beyond_decimal("c_acctbal", 8, 2)}),
+        Q.table_checks(t("supplier", "s_suppkey"), "pk_supplier", "s_suppkey"),
+        Q.table_checks(t("part", "p_partkey"), "pk_part", "p_partkey"),
+        Q.table_checks(t("orders", "o_orderkey", "o_orderdate", "o_totalprice"), "pk_orders", "o_orderkey",
+                       {"nn_orders_orderdate": F.col("o_orderdate").isNull(), "range_orders_totalprice_10_2": Q.beyond_decimal("o_totalprice", 10, 2)}),
+        Q.table_checks(t("lineitem", "l_orderkey", "l_linenumber", "l_discount"), "pk_lineitem", ["l_orderkey", "l_linenumber"],
+                       {"check_lineitem_discount_0_1": ~F.col("l_discount").between(0, 1)}),
         Q.unique_violations("unique_nation_name", t("nation", "n_name"), "n_name"),
-        Q.fk_violations("fk_nation_region", t("nation", "n_regionkey"), "n_regionkey", t("region", "r_regionkey"), "r_regionkey"),
-        Q.fk_violations("fk_customer_nation", t("customer", "c_nationkey"), "c_nationkey", t("nation", "n_nationkey"), "n_nationkey"),
-        Q.fk_violations("fk_supplier_nation", t("supplier", "s_nationkey"), "s_nationkey", t("nation", "n_nationkey"), "n_nationkey"),
-        Q.fk_violations("fk_orders_customer", t("orders", "o_custkey"), "o_custkey", t("customer", "c_custkey"), "c_custkey"),
-        Q.fk_violations("fk_lineitem_orders", t("lineitem", "l_orderkey"), "l_orderkey", t("orders", "o_orderkey"), "o_orderkey"),
-        Q.fk_violations("fk_lineitem_part", t("lineitem", "l_partkey"), "l_partkey", t("part", "p_partkey"), "p_partkey"),
-        Q.fk_violations("fk_lineitem_supplier", t("lineitem", "l_suppkey"), "l_suppkey", t("supplier", "s_suppkey"), "s_suppkey"),
-        Q.not_null_violations("nn_orders_orderdate", t("orders", "o_orderdate"), "o_orderdate"),
-        Q.not_null_violations("nn_customer_name", t("customer", "c_name"), "c_name"),
-        Q.decimal_range_violations("range_orders_totalprice_10_2", t("orders", "o_totalprice"), "o_totalprice", 10, 2),
-        Q.decimal_range_violations("range_customer_acctbal_8_2", t("customer", "c_acctbal"), "c_acctbal", 8, 2),
-        Q.check_violations("check_lineitem_discount_0_1", t("lineitem", "l_discount"),
-                           F.col("l_discount").between(0, 1)),
+        Q.fk_checks(t("nation", "n_regionkey"), {"fk_nation_region": ("n_regionkey", region, "r_regionkey")}),
+        Q.fk_checks(t("customer", "c_nationkey"), {"fk_customer_nation": ("c_nationkey", nation, "n_nationkey")}),
+        Q.fk_checks(t("supplier", "s_nationkey"), {"fk_supplier_nation": ("s_nationkey", nation, "n_nationkey")}),
+        Q.fk_checks(t("orders", "o_custkey"), {"fk_orders_customer": ("o_custkey", t("customer", "c_custkey"), "c_custkey")}),
+        Q.fk_checks(t("lineitem", "l_orderkey", "l_partkey", "l_suppkey"),
+                    {"fk_lineitem_orders": ("l_orderkey", t("orders", "o_orderkey"), "o_orderkey"),
+                     "fk_lineitem_part": ("l_partkey", t("part", "p_partkey"), "p_partkey"),
+                     "fk_lineitem_supplier": ("l_suppkey", t("supplier", "s_suppkey"), "s_suppkey")}),
     ]
 
 
