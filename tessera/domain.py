@@ -202,3 +202,38 @@ NON_CANDIDATES = ["CODGEO", "annee", "lib_commune", "DEP", "REG", "inscrits", "a
                   "exprimes", "nb_associations", "INCONNU", "NAISD17", "DECESD17", "NAISD22", "DECESD22"]
 AUXILIARY = ["taux_abstention", "taux_blancs_nuls"]
 MIN_POPULATION = 2000
+
+# --- fixed values: columns of the staged raw tables
+ELECTION_ROUND = "pres_t1"
+GENERAL_COLS = ["id_election", "code_commune", "libelle_commune", "code_bv", "inscrits", "abstentions", "votants", "blancs", "nuls", "exprimes"]
+CANDIDATE_COLS = ["id_election", "code_commune", "code_bv", "voix", "nom", "prenom", "nuance"]
+CENSUS_RECENT_COLS = [
+    "CODGEO",
+    "P22_POP", "P22_POP0014", "P22_POP1529", "P22_POP3044", "P22_POP4559", "P22_POP6074", "P22_POP7589", "P22_POP90P",
+    "P22_NSCOL15P", "P22_NSCOL15P_DIPLMIN", "P22_NSCOL15P_BEPC", "P22_NSCOL15P_CAPBEP", "P22_NSCOL15P_BAC",
+    "P22_NSCOL15P_SUP2", "P22_NSCOL15P_SUP34", "P22_NSCOL15P_SUP5",
+    "P22_POP1564", "P22_ACT1564", "P22_ACTOCC1564", "P22_CHOM1564", "P22_INACT1564", "P22_RETR1564", "P22_ETUD1564", "P22_EMPLT",
+    "C22_ACTOCC1564_STAT_GSEC11", "C22_ACTOCC1564_STAT_GSEC12", "C22_ACTOCC1564_STAT_GSEC13",
+    "C22_ACTOCC1564_STAT_GSEC14", "C22_ACTOCC1564_STAT_GSEC15", "C22_ACTOCC1564_STAT_GSEC16",
+    "C22_EMPLT_AGRI", "C22_EMPLT_INDUS", "C22_EMPLT_CONST", "C22_EMPLT_CTS", "C22_EMPLT_APESAS",
+    "P22_ACTOCC15P_VOITURE", "P22_ACTOCC15P_COMMUN",
+    "P22_LOG", "P22_RP", "P22_LOGVAC", "P22_RSECOCC", "P22_MAISON", "P22_APPART", "P22_RP_PROP", "P22_RP_LOC", "P22_RP_LOCHLMV", "P22_RP_VOIT1P",
+    "C22_MEN", "C22_MENPSEUL", "C22_MENCOUPSENF", "C22_MENCOUPAENF", "C22_MENFAMMONO", "P22_POP15P_MARIEE", "P22_POP15P_CELIBATAIRE",
+    "NBMENFISC21", "MED21", "PIMP21", "TP6021", "D121", "D921", "RD21", "PACT21", "PPEN21", "PPSOC21",
+    "SNEMM_23",
+    "NAISD17", "DECESD17", "NAISD22", "DECESD22",
+    "ETTOT24", "ETPOQ24", "ETPPRESPUB24", "ETPNPRESPUB24",
+]
+CENSUS_SERVICE_PREFIX = "BPE_"
+CENSUS_FORMER_COLS = [
+    "P16_POP", "P16_POP0014", "P16_POP1529", "P16_POP3044", "P16_POP4559", "P16_POP6074", "P16_POP7589", "P16_POP90P",
+    "P16_NSCOL15P", "P16_NSCOL15P_DIPLMIN", "P16_NSCOL15P_CAPBEP", "P16_NSCOL15P_BAC", "P16_NSCOL15P_SUP",
+    "P16_POP1564", "P16_ACT1564", "P16_ACTOCC1564", "P16_CHOM1564", "P16_INACT1564", "P16_RETR1564", "P16_ETUD1564", "P16_EMPLT",
+    "C16_ACTOCC1564_CS1", "C16_ACTOCC1564_CS2", "C16_ACTOCC1564_CS3", "C16_ACTOCC1564_CS4", "C16_ACTOCC1564_CS5", "C16_ACTOCC1564_CS6",
+    "C16_EMPLT_AGRI", "C16_EMPLT_INDUS", "C16_EMPLT_CONST", "C16_EMPLT_CTS", "C16_EMPLT_APESAS",
+    "P16_ACTOCC15P_VOITURE", "P16_ACTOCC15P_COMMUN",
+    "P16_LOG", "P16_RP", "P16_LOGVAC", "P16_RSECOCC", "P16_MAISON", "P16_APPART", "P16_RP_PROP", "P16_RP_LOC", "P16_RP_LOCHLMV", "P16_RP_VOIT1P",
+    "C16_MEN", "C16_MENPSEUL", "C16_MENCOUPSENF", "C16_MENCOUPAENF", "C16_MENFAMMONO", "P16_POP15P_MARIEE", "P16_POP15P_NONMARIEE",
+]
+CRIME_COLS = ["CODGEO_2025", "annee", "indicateur", "nombre", "taux_pour_mille", "est_diffuse"]
+CRIME_SOURCE_YEARS = [2016, 2017, 2021, 2022]

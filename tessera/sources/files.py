@@ -6,8 +6,10 @@ strings (codes keep their leading zeros) and cleaned by the C* functions.
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +37,10 @@ def part_files(spark: SparkSession, path: str) -> list:
     return sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ";", cols=None, header_cols=None,
+def read_delimited(spark: SparkSession, path: str | list, sep: str = ";", cols=None, header_cols=None,
                    encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
     """Delimited text with a header, every column a string (no
-    inference), optional projection.  ``path`` may be a folder or glob (S6):
+    inference), optional projection.  ``path`` may be a folder, a glob or a list of files (S6):
     every part is read by its own header (one small job a file), parts of the
     same header in one scan, and the scans are united by column name; a column
     that a part lacks is NULL there.  ``header_cols`` names the columns of all
@@ -46,10 +48,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", cols=None, he
     the price of unsplit files."""
     reader = _delimited(spark, sep, encoding).option("multiLine", multiline)
     if header_cols:
-        by_header = {tuple(header_cols): [path]}
+        by_header = {tuple(header_cols): path if isinstance(path, list) else [path]}
     else:
         by_header = {}
-        for f in part_files(spark, path):
+        for f in path if isinstance(path, list) else part_files(spark, path):
             by_header.setdefault(tuple(header(spark, f, sep, encoding)), []).append(f)
     scans = []
     for names, files in by_header.items():
@@ -62,6 +64,36 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", cols=None, he
     return df.select(*cols) if cols else df
 
 
+def matching_files(spark: SparkSession, path: str) -> list:
+    """As ``part_files``; no match gives an empty list."""
+    try:
+        return part_files(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def latest_file(spark: SparkSession, path: str, first: bool = False) -> str | None:
+    """S7 before any scan: the last (or first) match of a glob by name, a file or a folder
+    of part files; None without a match."""
+    last = path.rsplit("/", 1)[-1]
+
+    def match(f: str) -> str:
+        steps = f.split("/")
+        return "/".join(steps[:1 + max(i for i, s in enumerate(steps) if fnmatch(s, last))])
+
+    found = sorted({match(f) for f in matching_files(spark, path)})
+    return found[0 if first else -1] if found else None
+
+
+def latest_folder(spark: SparkSession, path: str) -> list:
+    """S7 before any scan: the files of the last folder (by path) of a glob over folders and files."""
+    found = matching_files(spark, path)
+    parent = lambda f: f.rsplit("/", 1)[0]
+    return [f for f in found if parent(f) == max(map(parent, found))]
+
+
 def latest_snapshot(df: DataFrame, pattern: str, first: bool = False) -> DataFrame:
     """S7 on one multi-snapshot scan: keep rows of the lexicographically last
     (or first) source file whose path matches ``pattern`` (one regex group =
