@@ -149,6 +149,20 @@ def test_jaccard_crowd(spark, monkeypatch):
     same_rows(got.collect(), brute_components(rows), ("doc_id", "n_shingles", "component_id"))
 
 
+def test_jaccard_trimmed_chains(spark):
+    """Small chains of trimmed texts: the only common tile of two links may have no other class in it."""
+    rng = random.Random(11)
+    rows = []
+    for c in range(150):
+        base = [f"c{c}w{k}" for k in range(rng.randrange(30, 70))]
+        for _ in range(rng.randrange(2, 6)):
+            off = len(base) // 10
+            left, right = rng.randrange(off + 1), rng.randrange(off + 1)
+            rows.append((len(rows), " ".join(base[left:len(base) - right])))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    same_rows(got.collect(), brute_components(rows), ("doc_id", "n_shingles", "component_id"))
+
+
 def test_signature_bound():
     rng = np.random.default_rng(0)
     for _ in range(300):
