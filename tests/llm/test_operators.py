@@ -216,6 +216,30 @@ def test_token_counts(spark, edge_docs):
         assert count(t[:cut]) <= 5 and (cut == 0 or not t[cut - 1].isspace())
 
 
+def test_cut_is_longest(spark):
+    """Every budget, against the library on every prefix: one long chunk, special strings, control characters, decomposed letters."""
+    from tokenizers import Tokenizer
+    path = tokenizer_path(WORD_VOCABULARY)
+    tok = Tokenizer.from_file(path)
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    counter = token_counts.PrefixCounter(path)
+    rng = random.Random(2)
+    texts = ["東京タワーは日本の電波塔である高さは三百三十三メートル", "VGhpcyBpcyBhIGxvbmcgYmFzZTY0IHN0cmluZyB3aXRob3V0IGJsYW5rcw==", "function(a,b){return'll'+a.b!==(b<<2)||we'll&&they're've}",
+             "one two!<|endoftext|>three <|startoftext|><|endoftext|> four!!<|endoft end", "a\x1cb c\x1d\x1e d <|endoftext|>", "Tie\u0302\u0301ng Vie\u0323\u0302t x\u0301y\u0301 e\u0301e\u0301e\u0301e\u0301 \u1112\u1161\u11ab\u1100\u116e\u11a8",
+             "İstanbul'S É!! ÉTÉ  \u3000 ¿no?", "<|endoftext|>"]
+    texts += ["".join(rng.choice(["ab", "the", "'", "s", "ll", "!", "<|", " ", "7", "é", "e\u0301", "日", "<|endoftext|>", "\x1f"]) for _ in range(24)) for _ in range(40)]
+    for t in texts:
+        each = [count(t[:k]) for k in range(len(t) + 1)]
+        assert [counter.at(t, k) for k in range(len(t) + 1)] == each, t
+        for budget in range(max(each) + 2):
+            assert counter.cut(t, budget) == max(len(t[:k].rstrip(token_counts.SPACE)) for k in range(len(t) + 1) if each[k] <= budget), (t, budget)
+    long = "".join(rng.choice("東京都日本語電波塔高三百メル") for _ in range(6000))
+    rows = [(1, long), (2, "<|endoftext|>" + "word and " * 3000), (3, "x\x1c " + "ab12" * 5000)]
+    for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path, 2048).collect():
+        t, k = dict(rows)[r["doc_id"]], r["kept_chars"]
+        assert r["over_limit"] and count(t[:k]) <= 2048 < min(count(t[:k + j]) for j in range(2, 60))
+
+
 def test_token_output(spark, edge_docs):
     from tokenizers import Tokenizer
     path = tokenizer_path(BYTE_VOCABULARY)
