@@ -33,6 +33,15 @@ def test_stages(spark):
     assert ids(after) == ids(before)
 
 
+def test_near_duplicates_rule(spark):
+    """Five words a shingle, 0.8 or more: a changed block of 6 in 100 words has 0.81 (on four words 0.83)."""
+    base = [f"w{k}" for k in range(100)]
+    changed = lambda n: " ".join(f"x{k}" if 40 <= k < 40 + n else w for k, w in enumerate(base))
+    rows = [(1, " ".join(base), "en", "a", 1), (2, changed(6), "en", "a", 1), (3, changed(40), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SF_SMALL).collect()) == [1, 3]
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF_SMALL)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 0
