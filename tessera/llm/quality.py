@@ -86,11 +86,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
     """(label, text) of at most ``per_label`` rows for each of 0 and 1, lowest id hash first, held-out
-    rows left out.  The ids chosen (a bounded table) are sent to the documents' scan."""
+    rows left out; of several rows of an id the one with the smallest text.  The ids chosen (a bounded table)
+    are sent to the documents' scan."""
     own = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_label"))
     by_hash = own.withColumn("_order", F.xxhash64("doc_id"))
     chosen = by_hash.where("_label = 0").orderBy("_order").limit(per_label).unionByName(by_hash.where("_label = 1").orderBy("_order").limit(per_label))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("_label").cast("int").alias("label"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    return rows.select(F.col("_label").cast("int").alias("label"), "text")
 
 
 class Model:

@@ -285,6 +285,16 @@ def test_classifiers(spark, edge_docs, name, run, label):
     assert run(edge_docs, empty(labels)).count() == edge_docs.count()
 
 
+def test_training_rows_bounded(spark):
+    """An id on very many rows is one row of the sample."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(7, f"text {k}") for k in range(500)] + [(8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality.training_rows(docs, labels, "quality", 100).collect()
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert {7, 8} <= set(ids)
+    same_rows(got, [(i % 2, "text 0" if i == 7 else f"text {i}") for i in ids], ("label", "text"))
+
+
 def test_quotations(spark):
     rows = [(1, 0, "user", "How do I bake bread?\nI have flour."), (1, 1, "assistant", "Mix and wait."), (1, 2, "user", "> how do i  bake bread?\n> I have flour.\nNo yeast, by the way."),
             (1, 3, "assistant", ">> I have flour.\n> No yeast, by the way.\nThen soda."), (1, 4, "user", "> nobody said this\nok"), (2, 0, "user", None), (2, 1, "assistant", ""),
