@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard_join, licenses, mix_sources, near_vectors, quality, quotations, token_counts, token_output, toxicity
+from tessera.llm import (decontaminate, importance, jaccard_join, licenses, mix_sources, near_vectors, quality, quotations, runs, secret_scan,
+                         token_counts, token_output, toxicity)
 from tessera.llm.common import table
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -56,8 +57,21 @@ def op10_token_output(spark, d):
     return token_output.token_output(table(spark, d, "documents").select("doc_id", "text"), tokenizer_path(BYTE_VOCABULARY))
 
 
+def op11_periodic_runs(spark, d):
+    return runs.periodic_runs(table(spark, d, "documents"))
+
+
+def op12_importance(spark, d):
+    return importance.importance(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_secret_scan(spark, d):
+    return secret_scan.secrets(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_license_scan, op3_quotation_links, op4_token_counts, op5_quality, op6_decontaminate,
-                                   op7_mix_sources, op8_jaccard_join, op9_toxicity, op10_token_output)}
+                                   op7_mix_sources, op8_jaccard_join, op9_toxicity, op10_token_output, op11_periodic_runs, op12_importance,
+                                   op13_secret_scan)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -147,9 +161,50 @@ select conv_id, turn, role, n_quoted::bigint as n_quoted, reply_to,
        (row_number() over (partition by conv_id order by reply_to nulls first, turn nulls first, role nulls first, body) - 1)::bigint as place, body
 from replies"""
 
+
+
+def _secret_sql() -> str:
+    either = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""(?:{either})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = (assign, "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_-]{16,}={0,2}")
+    least = (f"length(regexp_extract(s.v, '{assign}', 1)) >= 8", "length(s.v) >= 16", "length(s.v) >= 32", "true")
+
+    def places(kind, pattern, keep):
+        return f"""select k, {kind} as kind, s.start as start, s.start + length(s.v) as stop, s.v as v from
+          (select k, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'v': m[i], 'start': coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+             + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)}})) as s
+           from (select k, regexp_extract_all(text, '{pattern}') as m, regexp_split_to_array(text, '{pattern}') as g from d)) where {keep}"""
+
+    spans = " union all ".join(places(kind, p, w) for kind, (p, w) in enumerate(zip(patterns, least)))
+    base16_64 = "[0-9a-f]{32,}|AKIA[A-Z0-9]{12,}"
+    return rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+tokens as (select distinct unnest(regexp_extract_all(regexp_replace(text, '{assign}', ' ', 'g'), '[A-Za-z0-9+/_=-]{{8,}}')) as t from d),
+digests as (select sha256(coalesce(doc_id::varchar, '')) as h from d),
+samples as (select case when regexp_matches(t, '{base16_64}') then regexp_extract(t, '{base16_64}') else t end as t, regexp_matches(t, '{base16_64}')::int as label from tokens
+  union select case when h < '3' then h when h < '6' then upper(h) else to_base64(unhex(h)) end, 1 from digests
+  union select v, 1 from (select unnest(regexp_extract_all(text, '{assign}', 1)) as v from d) where length(v) >= 8),
+pairs as (select label, substr(t, i, 1) as a, substr(t, i, 2) as ab, count(*) as n
+  from (select t, label, unnest(range(1, length(t))) as i from samples) where regexp_full_match(substr(t, i, 2), '[A-Za-z0-9+/_=-]{{2}}') group by all),
+share as (select label, a, ab, n, sum(n) over (partition by label, a) as after from pairs),
+symbols as (select unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=', '')) as c),
+sums as (select label, a, max(after) as after from share group by label, a),
+scores as (select x.c || y.c as ab, floor(1000 * (ln((coalesce(r.n, 0) + 1) / (coalesce(rs.after, 0) + 67)) - ln((coalesce(o.n, 0) + 1) / (coalesce(os.after, 0) + 67))) + 0.5) as s
+  from symbols x, symbols y left join share r on r.label = 1 and r.ab = x.c || y.c left join share o on o.label = 0 and o.ab = x.c || y.c
+  left join sums rs on rs.label = 1 and rs.a = x.c left join sums os on os.label = 0 and os.a = x.c),
+found as ({spans}),
+judged as (select v from (select v, unnest(range(1, length(v))) as i from (select distinct v from found where kind = 3 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')))
+  join scores on ab = substr(v, i, 2) group by v having sum(s) >= 10000),
+kept as (select k, kind, start, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start::bigint || ':' || stop::bigint as span from found where kind < 3 or v in (select v from judged))
+select any_value(doc_id) as doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+       sha256(coalesce(string_agg(span, ',' order by start, kind) filter (kind < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, kind), '') as spans
+from d left join kept using (k) group by k"""
+
+
 ORACLES = {
     "op2_license_scan": _license_sql(),
     "op3_quotation_links": _QUOTATION_SQL,
     "op6_decontaminate": _DECONTAMINATION_SQL,
+    "op13_secret_scan": _secret_sql(),
     "op7_mix_sources": "with " + MIX_SQL.format(docs="documents") + " select doc_id, size, source_size, target, (size * copies)::bigint as taken from mixed",
 }
