@@ -333,7 +333,7 @@ def model_and_projection(final: DataFrame, features, targets=tuple(domain.TARGET
     predictions = MD.test_predictions(fitted[best], test, ids, targets)
     importance = MD.permutation_importance(fitted[best], test, list(key_cols), features, targets)
     full = cut_lineage(MD.prepare(final, features, targets))
-    refit = MD.fit_models(full, features, targets, [best])[best]
+    refit = MD.fit_models(full, features, targets, [best], key_cols)[best]
     meta = [c for c in ("DEP", "lib_commune") if c in final.columns]
     proj = trend_projection(final, key_cols[0], key_cols[1], early, late, features, years, meta_cols=meta, digits=None)
     pred = MD.predict(refit, proj)

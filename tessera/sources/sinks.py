@@ -7,12 +7,13 @@ by surrogate id (bounded groups) and each batch is one INSERT statement.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import domain
 from tessera.operators.export import surrogate_ids
+from tessera.operators.trees import TreeModel
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
@@ -74,7 +75,22 @@ def write_sql_script(statements: DataFrame, path: str, ddl: str = "") -> None:
     out.select("statement").write.mode("overwrite").text(path)
 
 
-def save_models(models: dict, path: str) -> None:
-    """K4: one saved PipelineModel per target."""
+def save_models(models, path: str) -> None:
+    """K4: one saved PipelineModel per target, or a tree model as Parquet: its nodes, and one row of the rest."""
+    root = path.rstrip("/")
+    if isinstance(models, TreeModel):
+        models.nodes.write.mode("overwrite").parquet(f"{root}/nodes")
+        models.nodes.sparkSession.createDataFrame([(models.features, models.targets, models.scale, models.base)], _TREE_MODEL) \
+            .write.mode("overwrite").parquet(f"{root}/model")
+        return
     for name, m in models.items():
-        m.write().overwrite().save(f"{path.rstrip('/')}/{name}")
+        m.write().overwrite().save(f"{root}/{name}")
+
+
+def load_tree_model(spark: SparkSession, path: str) -> TreeModel:
+    root = path.rstrip("/")
+    r = spark.read.parquet(f"{root}/model").first()
+    return TreeModel(list(r["features"]), list(r["targets"]), spark.read.parquet(f"{root}/nodes"), list(r["scale"]), list(r["base"]))
+
+
+_TREE_MODEL = "features array<string>, targets array<string>, scale array<double>, base array<double>"

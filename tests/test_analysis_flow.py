@@ -32,8 +32,8 @@ def test_feature_analysis_and_models(spark):
     assert feats and set(feats) <= set(fa["final"].columns)
     assert fa["final"].where("TP6021 IS NULL").count() == 0          # imputed
     assert fa["audit"].count() >= 8
-    mp = TT.model_and_projection(fa["final"], feats, families=["Ridge"])
-    assert mp["comparison"].count() == len(domain.TARGETS)
+    mp = TT.model_and_projection(fa["final"], feats, families=["Ridge", "Random Forest"])
+    assert mp["comparison"].count() == 2 * len(domain.TARGETS)
     proj = mp["projections"]
     assert {r["annee_projetee"] for r in proj.select("annee_projetee").distinct().collect()} == set(domain.PROJECTION_YEARS)
     assert proj.select("CODGEO").distinct().count() == N
