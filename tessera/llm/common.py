@@ -47,6 +47,21 @@ def _record_batch(out: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
 
+def aside(df: DataFrame, names: list[str], work) -> DataFrame:
+    """``work(df)`` for a ``work`` that adds columns called ``names``: the caller's columns of these names
+    (in any case) carry others meanwhile, and are called as before in the result."""
+    taken = {c.lower() for c in [*df.columns, *names]}
+    renamed = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"{c}_own"
+            while new.lower() in taken:
+                new += "_"
+            taken.add(new.lower())
+            renamed[c] = new
+    return work(df.withColumnsRenamed(renamed)).withColumnsRenamed({new: old for old, new in renamed.items()})
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_lists, materialize
+from tessera.llm.common import aside, map_lists, materialize
 from tessera.llm.words import WORD, words
 
 WINDOW = 10
@@ -198,9 +198,12 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
     """``docs`` (same columns) with contaminated spans cut out of the text; documents of which
     more than ``max_coverage`` of the words are hit go.  Clean documents are unchanged.
     The length limit is the window: every run that reaches it is cut whole."""
-    names = docs.columns
+    return aside(docs, ["_item_n_words", "_item_spans", "_item_items"], lambda d: _without_spans(d, benchmark, max_coverage, options))
+
+
+def _without_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float, options: dict) -> DataFrame:
+    names, schema = docs.columns, docs.schema
     found = find_spans(docs, benchmark, **options)
-    schema = docs.schema
 
     def make():
         def step(cols):

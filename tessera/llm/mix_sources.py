@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import aside, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -77,7 +77,7 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
     # the hash where the budget ends goes in if that comes nearer to it
     at = state.select(F.col("source").alias("s"), "prefix")
     edge = sized.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("hash") == F.col("prefix"))).groupBy("s").agg(F.sum("size").alias("edge")).withColumnRenamed("s", "e")
-    nearer = 2 * (F.col("budget") - F.col("below")) >= F.coalesce("edge", F.lit(0))
+    nearer = (F.col("budget") > 0) & (2 * (F.col("budget") - F.col("below")) >= F.coalesce("edge", F.lit(0)))  # a budget of 0 takes no more copies
     ends = state.join(edge, F.col("source").eqNullSafe(F.col("e")), "left").select(F.col("source").alias("s"), F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
     return materialize(t.join(ends, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "whole", "threshold"), "mix-plan")
 
@@ -117,7 +117,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix takes it.  Texts meet only the small plan,
     one row a source."""
-    plan = plan_mix(materialize(_sized(docs), "mix")).withColumnsRenamed({c: f"_mix_{c}" for c in ("s", "source_size", "target", "whole", "threshold")})
+    names = ("s", "source_size", "target", "whole", "threshold")
+    plan = plan_mix(materialize(_sized(docs), "mix")).withColumnsRenamed({c: f"_mix_{c}" for c in names})
     copies = F.col("_mix_whole") + (doc_hash(F.col("doc_id"), F.col("text")) <= F.col("_mix_threshold")).cast("long")
-    found = docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_s")))
-    return found.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_mix_copy")).select(*docs.columns)
+
+    def repeated(d: DataFrame) -> DataFrame:
+        found = d.join(plan, F.col("source").eqNullSafe(F.col("_mix_s")))
+        return found.select(*d.columns, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_mix_copy")).select(*d.columns)
+
+    return aside(docs, [*(f"_mix_{c}" for c in names), "_mix_copy"], repeated)

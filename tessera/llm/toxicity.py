@@ -10,16 +10,18 @@ the subsequences of s, so after training landmarks, root and weights fold into o
 of subsequence weights.
 
 Labels are of whole texts, so training picks witnesses: starting from the word parts most
-typical of toxic texts, the best-scored words of each toxic text become positives, all
-words of clean texts are negatives, and the machine is retrained ``ROUNDS`` times.  A
-logistic model on a text's best word, number and share of positive words gives its score.
+typical of toxic texts, the best-scored words of each toxic text become positives, the
+words of clean texts are negatives (of the sample's distinct ones at most ``NEGATIVES``, those of
+the lowest crc32), and the machine is retrained ``ROUNDS`` times.  A logistic model on a text's best word, number and share of positive words gives its score.
 
 Only labelled rows with crc32(doc_id) % 5 <> 0 are learned from, at most
-``SAMPLE_PER_LABEL`` of each label (the lowest id hashes).
+``SAMPLE_PER_LABEL`` of each label (the lowest id hashes); conflicting labels of an id count as
+the larger one.
 
 Cases: null and empty texts have no words and get the score of a text without any
-positive word; repeated rows get equal scores; without labels of both kinds every score
-is the one label's share (0 without any label); an empty table gives no rows; other
+positive word; long texts are read whole; repeated rows get equal scores; without labels of
+both kinds, or without a word that tells them apart, every score is the share of label 1 (0
+without any label), and ``keep_civil`` keeps every row; an empty table gives no rows; other
 columns are never read.
 """
 
@@ -33,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, map_lists
+from tessera.llm.common import aside, held_out, map_lists
 from tessera.llm.quality import training_rows
 from tessera.llm.words import WORD
 
@@ -47,7 +49,7 @@ NEGATIVES = 8_000
 SAMPLE_PER_LABEL = 600
 THRESHOLD = 0.5
 #: scored words kept per task (speed only)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: words whose subsequences are laid out at once
 BLOCK_WORDS = 20_000
 
@@ -180,6 +182,7 @@ class Model:
         df_word = Counter(w for t in clean for w in t)
         negatives = sorted(df_word, key=lambda w: zlib.crc32(w))[:NEGATIVES]
         score = {w: max(part_score.get(p, -9.0) for p in _parts(w)) for t in toxic for w in t}
+        self.machine = None
         least = np.quantile(list(part_score.values()), 0.9) if part_score else 0.0
         for k in range(ROUNDS):
             chosen: Counter = Counter()
@@ -196,6 +199,9 @@ class Model:
             self.machine = WordMachine(positives, against, cost)
             own = list(score)
             score, least = dict(zip(own, self.machine.scores(own))), 0.0
+        if self.machine is None:  # no word tells the labels apart
+            self.trained = False
+            return
         x = np.array([self.features(np.repeat(self.machine.scores(list(t)), list(t.values())).tolist(), sum(t.values())) for t in texts])
         self.spread = np.maximum(x.std(0), 1e-6)
         self.logistic = _logistic(x / self.spread, y)
@@ -253,5 +259,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LAB
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
-    """``docs`` without the texts scored toxic."""
-    return scored(docs, train(docs, labels, per_label)).where(F.col("_toxic_score") < THRESHOLD).drop("_toxic_score")
+    """``docs`` without the texts scored toxic; none goes if nothing can be learned from the labels."""
+    model = train(docs, labels, per_label)
+    if not model.trained:
+        return docs
+    return aside(docs, ["_toxic_score"], lambda d: scored(d, model).where(F.col("_toxic_score") < THRESHOLD).drop("_toxic_score"))
