@@ -16,8 +16,8 @@ from array import array
 
 import numpy as np
 
-#: a cache keeps so many recent entries and as many older ones (about 55 MB each); speed only
-CACHE_ENTRIES = 250_000
+#: a cache keeps so many recent entries and as many older ones (about 150 bytes each); speed only
+CACHE_ENTRIES = 750_000
 #: longer chunks are encoded each time
 CACHE_CHARS = 48
 #: white space other than the blank and the line feed, and what only Python counts as such
@@ -36,9 +36,9 @@ def _latin(c: str) -> bool:
 
 
 @functools.cache
-def byte_ids(path: str) -> ByteIds:
+def byte_ids(path: str, entries: int = CACHE_ENTRIES) -> ByteIds:
     """One instance per Python worker, kept across its tasks."""
-    return ByteIds(path)
+    return ByteIds(path, entries)
 
 
 @functools.cache
@@ -49,9 +49,9 @@ def word_counts(path: str) -> WordCounts:
 class _Cache(dict):
     """Value of a chunk; a missing one is made from the library's ids."""
 
-    def __init__(self, tokenizer, before: str, value):
+    def __init__(self, tokenizer, before: str, value, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.tokenizer, self.before, self.value = tokenizer, before, value
+        self.tokenizer, self.before, self.value, self.entries = tokenizer, before, value, entries
         self.older: dict = {}
 
     def __missing__(self, chunk: str):
@@ -63,7 +63,7 @@ class _Cache(dict):
         else:
             made = self.value(self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = made
@@ -74,19 +74,20 @@ class ByteIds:
     """Ids of whole texts under the byte-level vocabulary, as little-endian unsigned
     32-bit integers: ``ByteIds(path)(text) -> bytes``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         pack = lambda ids: array("I", ids).tobytes()
-        self.pack, self.inner, self.first = pack, _Cache(self.tokenizer, " ", pack), _Cache(self.tokenizer, "", pack)
+        self.pack, self.inner, self.first = pack, _Cache(self.tokenizer, " ", pack, entries), _Cache(self.tokenizer, "", pack, entries)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         # a single blank, or a single line feed, between two other characters always starts a new piece
-        chunks = text.replace("\n", " \n").split(" ")
-        if "" in chunks or "\n" in chunks or _ODD_SPACE.search(text) or any(s in text for s in self.special):
+        spaced = text.replace("\n", " \n")
+        if "  " in spaced or "\n " in spaced or spaced[0] == " " or spaced[-1] in " \n" or _ODD_SPACE.search(text) or any(s in text for s in self.special):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        chunks = spaced.split(" ")
         inner, first = self.inner, self.first
         out = [inner[c] if c[0] != "\n" else first[c] for c in chunks]
         out[0] = first[chunks[0]]
