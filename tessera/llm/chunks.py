@@ -15,7 +15,13 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: texts are read together up to so many characters; speed and memory only
+BATCH_CHARS = 8_000_000
+#: so many chunks not seen yet are encoded as one text
+JOINED = 4096
 #: a cache keeps so many recent entries and as many older ones (about 150 bytes each); speed only
 CACHE_ENTRIES = 750_000
 #: longer chunks are encoded each time
@@ -49,9 +55,9 @@ def word_counts(path: str) -> WordCounts:
 class _Cache(dict):
     """Value of a chunk; a missing one is made from the library's ids."""
 
-    def __init__(self, tokenizer, before: str, value, entries: int = CACHE_ENTRIES):
+    def __init__(self, tokenizer, value, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.tokenizer, self.before, self.value, self.entries = tokenizer, before, value, entries
+        self.tokenizer, self.value, self.entries = tokenizer, value, entries
         self.older: dict = {}
 
     def __missing__(self, chunk: str):
@@ -61,7 +67,7 @@ class _Cache(dict):
         elif len(chunk) > 1 and chunk[-1] in ".," and _latin(chunk[-2]):  # letters and marks never merge
             made = self[chunk[:-1]] + self.value(self.tokenizer.encode(chunk[-1], add_special_tokens=False).ids)
         else:
-            made = self.value(self.tokenizer.encode(self.before + chunk, add_special_tokens=False).ids)
+            made = self.value(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= self.entries:
                 self.older = dict(self)
@@ -72,26 +78,133 @@ class _Cache(dict):
 
 class ByteIds:
     """Ids of whole texts under the byte-level vocabulary, as little-endian unsigned
-    32-bit integers: ``ByteIds(path)(text) -> bytes``."""
+    32-bit integers: ``ByteIds(path)(text) -> bytes``, ``ByteIds(path).batch(texts) -> [bytes]``.
+
+    A chunk's first character says what stands before it: a line feed or, for the first
+    chunk of a text, a tab (texts with tabs are encoded whole) has nothing before it, any
+    other a blank.  A batch splits its texts and numbers their distinct chunks in Arrow,
+    looks each distinct chunk up once, and gathers the ids by these numbers.  Chunks not
+    seen yet are encoded many at a time, joined by blanks or by line feeds: the ids that
+    begin with the joint are where the chunks begin."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.tokenizer = load(path)
+        self.tokenizer, self.entries = load(path), entries
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        pack = lambda ids: array("I", ids).tobytes()
-        self.pack, self.inner, self.first = pack, _Cache(self.tokenizer, " ", pack, entries), _Cache(self.tokenizer, "", pack, entries)
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.mark = {c: self._encode(c) for c in ".,\n"}
+        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
+        self.feed = np.zeros(len(self.blank), bool)
+        self.feed[np.frombuffer(self.mark["\n"], "<u4")] = True
+
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _encode(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _joined(self, chunks: list[str], joint: str) -> list[bytes]:
+        """Ids of the chunks; after a blank these count it, after a line feed they don't."""
+        ids = np.array(self.tokenizer.encode(joint + joint.join(chunks), add_special_tokens=False).ids, "<u4")
+        starts = np.flatnonzero((self.blank if joint == " " else self.feed)[ids])
+        if len(starts) != len(chunks):
+            raise ValueError(f"{len(chunks)} chunks begin at {len(starts)} ids: not a byte-level vocabulary that splits at blanks")
+        raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)).tolist()
+        skip = 0 if joint == " " else 1
+        return [raw[4 * (a + skip): 4 * b] for a, b in zip(starts.tolist(), ends)]
+
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, each with its first character as described above."""
+        recent, older = self.recent, self.older
+        found = [recent.get(c) for c in chunks]
+        missed = [i for i, v in enumerate(found) if v is None]
+        # known as the same letters without their mark or line feed: letters and marks never merge
+        plans, new = [], {}
+        for i in missed:
+            c = chunks[i]
+            value = older.get(c)
+            if value is not None:
+                plans.append((i, c, None, b""))
+                found[i] = value
+                continue
+            key, after = c, b""
+            if len(c) > 2 and c[-1] in ".," and _latin(c[-2]):
+                key, after = c[:-1], self.mark[c[-1]]
+            if key[0] == "\n":
+                key = "\t" + key[1:]
+            plans.append((i, c, key, after))
+            if key not in recent:
+                known = older.get(key)
+                if known is None:
+                    new[key] = b""
+                else:
+                    recent[key] = known
+        keys = list(new)
+        for joint, group in ((" ", [k for k in keys if k[0] != "\t"]), ("\n", [k for k in keys if k[0] == "\t"])):
+            for at in range(0, len(group), JOINED):
+                part = group[at:at + JOINED]
+                new.update(zip(part, self._joined([k[1:] for k in part] if joint == "\n" else part, joint)))
+        for i, c, key, after in plans:
+            if key is not None:
+                value = (new[key] if key in new else recent[key]) + after
+                found[i] = self.mark["\n"] + value if c[0] == "\n" else value
+            if len(c) <= CACHE_CHARS:
+                recent[c] = found[i]
+        for key, value in new.items():
+            if len(key) <= CACHE_CHARS:
+                recent[key] = value
+        if len(recent) >= self.entries:
+            self.older, self.recent = recent, {}
+        return found
+
+    def _chunked(self, text: str) -> str | None:
+        """The text with its chunks parted by single blanks, or None where it goes to the library whole."""
         # a single blank, or a single line feed, between two other characters always starts a new piece
         spaced = text.replace("\n", " \n")
         if "  " in spaced or "\n " in spaced or spaced[0] == " " or spaced[-1] in " \n" or _ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        chunks = spaced.split(" ")
-        inner, first = self.inner, self.first
-        out = [inner[c] if c[0] != "\n" else first[c] for c in chunks]
-        out[0] = first[chunks[0]]
-        return b"".join(out)
+            return None
+        return "\t" + spaced
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        out, held, places, size = [b""] * len(texts), [], [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            chunked = self._chunked(text)
+            if chunked is None:
+                out[i] = self._encode(text)
+                continue
+            held.append(chunked)
+            places.append(i)
+            size += len(chunked)
+            if size >= BATCH_CHARS:
+                self._gather(held, places, out)
+                held, places, size = [], [], 0
+        if held:
+            self._gather(held, places, out)
+        return out
+
+    def _gather(self, chunked: list[str], places: list[int], out: list[bytes]) -> None:
+        parts = pc.split_pattern(pa.array(chunked, pa.large_string()), " ")
+        numbered = parts.values.dictionary_encode()
+        runs = self._values(numbered.dictionary.to_pylist())
+        lens = np.array([len(r) // 4 for r in runs], np.int64)
+        ids, starts = np.frombuffer(b"".join(runs), "<u4"), np.cumsum(lens) - lens
+        number = numbered.indices.to_numpy()
+        counts = lens[number]
+        ends = np.cumsum(counts)
+        all_ids = ids[np.repeat(starts[number] - ends + counts, counts) + np.arange(ends[-1])].tobytes()
+        last = 4 * ends[parts.offsets.to_numpy()[1:] - 1]
+        at = 0
+        for i, end in zip(places, last.tolist()):
+            out[i] = all_ids[at:end]
+            at = end
 
 
 class WordCounts:
@@ -102,7 +215,7 @@ class WordCounts:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache = _Cache(self.tokenizer, "", len)
+        self.cache = _Cache(self.tokenizer, len)
 
     def split(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special) or _CONTROL_SPACE.search(text):

@@ -116,8 +116,8 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
         def step(cols):
             rows = []
-            for doc_id, text in zip(cols["doc_id"], cols["text"]):
-                run = encode(text) + end
+            for doc_id, run in zip(cols["doc_id"], encode.batch(cols["text"])):
+                run += end
                 held.append((doc_id, run))
                 state["ids"] += len(run) // 4
                 if state["ids"] >= SEGMENT_IDS:

@@ -1,5 +1,7 @@
 """Legal input that once lost links, crashed or met an operator's own column names."""
 
+import random
+
 import pytest
 
 from tessera.llm import decontaminate, jaccard_join, mix_sources, toxicity
@@ -59,3 +61,17 @@ def test_empty_documents_are_not_copied_beyond_a_full_budget(spark):
     docs = spark.createDataFrame([(i, "" if i < 20 else "one two three", s) for i in range(60) for s in ("a", "b", "c")], "doc_id long, text string, source string")
     mixed = mix_sources.mix(docs).groupBy("source").agg({"copies": "max"}).collect()
     assert all(r[1] <= 3 for r in mixed)
+
+
+@pytest.mark.parametrize("entries", [64, 1_000_000])
+def test_batches_of_chunks_have_the_tokenizers_ids(entries):
+    """Small caches forget all the time; ids stay those of the whole text."""
+    from tessera.llm.chunks import ByteIds
+    from tessera.llm.queries import BYTE_VOCABULARY, tokenizer_path
+    encoder, rng = ByteIds(tokenizer_path(BYTE_VOCABULARY), entries), random.Random(4)
+    texts = [None, "", " ", "\n", "a.", "a.\nb,", "\na", "a ", "a\n\nb", "a  b", "a\tb", "x<|endoftext|> y", "don't we'll", "z" * 99 + " z. z, 漢字 é."]
+    texts += ["".join(rng.choice("ab.,\n  é1'漢\t&") for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    texts += [" ".join("".join(rng.choice("aeTst.,") for _ in range(rng.randint(1, 9))) for _ in range(60)).replace(" a", "\na") for _ in range(200)]
+    want = [encoder.pack(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [b for at in range(0, len(texts), 500) for b in encoder.batch(texts[at:at + 500])] == want
+    assert encoder(texts[-1]) == want[-1] and encoder.batch([]) == []
