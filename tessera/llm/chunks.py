@@ -42,9 +42,9 @@ def _latin(c: str) -> bool:
 
 
 @functools.cache
-def byte_ids(path: str, entries: int = CACHE_ENTRIES) -> ByteIds:
+def byte_ids(path: str, entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS) -> ByteIds:
     """One instance per Python worker, kept across its tasks."""
-    return ByteIds(path, entries)
+    return ByteIds(path, entries, batch_chars)
 
 
 @functools.cache
@@ -87,8 +87,8 @@ class ByteIds:
     seen yet are encoded many at a time, joined by blanks or by line feeds: the ids that
     begin with the joint are where the chunks begin."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.tokenizer, self.entries = load(path), entries
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS):
+        self.tokenizer, self.entries, self.batch_chars = load(path), entries, batch_chars
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -183,7 +183,7 @@ class ByteIds:
             held.append(chunked)
             places.append(i)
             size += len(chunked)
-            if size >= BATCH_CHARS:
+            if size >= self.batch_chars:
                 self._gather(held, places, out)
                 held, places, size = [], [], 0
         if held:

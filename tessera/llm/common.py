@@ -29,6 +29,7 @@ def map_lists(df: DataFrame, schema: str | StructType, make) -> DataFrame:
     arrow = to_arrow_schema(struct)
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # a reused worker may hold what earlier stages freed
         f = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_SLICE):

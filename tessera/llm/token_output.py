@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import CACHE_ENTRIES, byte_ids
+from tessera.llm.chunks import BATCH_CHARS, CACHE_ENTRIES, byte_ids
 from tessera.llm.common import map_lists, shared_path
 
 BITS = 8
@@ -89,7 +89,7 @@ class Codes:
         return out
 
 
-def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, cache_entries: int = CACHE_ENTRIES) -> None:
+def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, cache_entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS) -> None:
     """Encode ``doc_id, text`` in ascending doc_id order and write segment files to ``path``.
 
     The range exchange moves compressed text once; encoding comes after it, so nothing is
@@ -97,7 +97,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encode, part = byte_ids(tokenizer_path, cache_entries), TaskContext.get().partitionId()
+        encode, part = byte_ids(tokenizer_path, cache_entries, batch_chars), TaskContext.get().partitionId()
         held: list[tuple[int | None, bytes]] = []
         state = {"segment": 0, "start": 0, "ids": 0}
 
@@ -161,9 +161,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return map_lists(rows, "doc_id long, start long, n_tokens long, ids_crc32 long", make)
 
 
-def token_output(docs: DataFrame, tokenizer_path: str, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer_path: str, cache_entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Write the documents' segments below the shared folder and read the documents back.
-    ``cache_entries`` trades a worker's memory against encoding rare chunks again."""
+    ``cache_entries`` and ``batch_chars`` trade a worker's memory against looking chunks up again."""
     path = shared_path(docs.sparkSession, "token-ids")
-    write_segments(docs, path, tokenizer_path, cache_entries=cache_entries)
+    write_segments(docs, path, tokenizer_path, cache_entries=cache_entries, batch_chars=batch_chars)
     return read_documents(docs.sparkSession, path)

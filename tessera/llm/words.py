@@ -10,7 +10,7 @@ import numpy as np
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 #: largest piece of text hashed at once; longer texts are cut at white space
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
