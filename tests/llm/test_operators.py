@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard_join, licenses, mix_sources, near_vectors, quality, quotations, token_counts, token_output, toxicity
 from tessera.llm.common import connected_components, table
@@ -183,8 +184,8 @@ def test_vectors(spark):
     rng = np.random.default_rng(7)
     centers = rng.standard_normal((60, 16))
     x = [(c + 0.2 * rng.standard_normal(16)).astype("float32").tolist() for c in centers for _ in range(25)]
-    rows = [(i, v, i % 3) for i, v in enumerate(x)] + [(2000 + k, x[0], 0) for k in range(40)]
-    bad = [(3000, None, 0), (3001, [0.0] * 16, 0), (3002, [float("nan")] * 16, 0), (3003, x[0], None), (3004, [None] * 16, 0), (None, x[0], 0), (3005, [float("inf")] * 16, 0), (3006, x[0][:8], 0)]
+    rows = [(i, v, i % 3) for i, v in enumerate(x)] + [(2000 + k, x[0], 0) for k in range(40)] + [(None, x[0], 0)]
+    bad = [(3000, None, 0), (3001, [0.0] * 16, 0), (3002, [float("nan")] * 16, 0), (3003, x[0], None), (3004, [None] * 16, 0), (3005, [float("inf")] * 16, 0), (3006, x[0][:8], 0)]
     df = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<float>, label int, component_id string")
     got = {r["vec_id"]: r for r in near_vectors.near_vectors(df, leaf=64).collect()}
     assert len(got) == len(rows) + len(bad)
@@ -195,9 +196,56 @@ def test_vectors(spark):
     np.fill_diagonal(true, False)
     links = np.array([got[r[0]]["n_links"] for r in rows])
     assert (links <= true.sum(1)).all() and links.sum() >= 0.9 * true.sum() > 0
-    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and (got[i]["kept"] or i is None) for i, *_ in bad)
-    assert all(got[2000 + k]["component_id"] == got[0]["component_id"] for k in range(40))
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, *_ in bad)
+    assert all(got[i]["component_id"] == got[0]["component_id"] for i in [None, *range(2000, 2040)]) and not got[None]["kept"]
     assert near_vectors.near_vectors(empty(df)).count() == 0
+    nameless = near_vectors.near_vectors(spark.createDataFrame([(None, x[0], 0), (None, x[1], 0), (None, None, 0)], df.select("vec_id", "embedding", "label").schema))
+    assert sorted((r["n_links"], r["component_id"], r["kept"]) for r in nameless.collect())[0] == (0, None, False)
+
+
+def brute_links(m, threshold=0.93):
+    m = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    true = m @ m.T >= threshold
+    np.fill_diagonal(true, False)
+    return true
+
+
+def test_vectors_deep_forest(spark):
+    """Default parameters, 64 dimensions, five levels of splits: no link too many, recall of the links of at least 0.9."""
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((1500, 64))
+    m = (np.repeat(centers, 6, 0) + 0.22 * rng.standard_normal((9000, 64))).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(m)], "vec_id long, embedding array<float>, label string")
+    classes = df.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    found = near_vectors.leaves(classes)
+    assert found.agg(F.max(F.length("node"))).first()[0] >= 4 and found.select("tree").distinct().count() == near_vectors.TREES
+    true = brute_links(m)
+    got = sorted(near_vectors.near_vectors(df).collect())
+    links = np.array([r["n_links"] for r in got])
+    recall = links.sum() / true.sum()
+    print(f"recall of links {recall:.4f}")
+    assert (links <= true.sum(1)).all() and recall >= 0.9
+
+
+def test_vectors_crowd(spark):
+    """A crowd of near copies is compared whole, in blocks: links and components equal brute force."""
+    rng = np.random.default_rng(4)
+    m = (rng.standard_normal(32) + 0.16 * rng.standard_normal((1500, 32))).astype("float32")
+    m[::10] = m[0]
+    df = spark.createDataFrame([(i, v.tolist(), 5) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int")
+    got = sorted(near_vectors.near_vectors(df, leaf=200, block=128).collect())
+    want = {r: c for r, _, c in brute_pairs_components(brute_links(m))}
+    assert [r["n_links"] for r in got] == brute_links(m).sum(1).tolist()
+    assert [r["component_id"] for r in got] == [want[i] for i in range(len(m))]
+
+
+def brute_pairs_components(linked):
+    low = np.arange(len(linked))
+    while True:
+        new = np.minimum(low, np.where(linked, low, len(low)).min(1))
+        if (new == low).all():
+            return [(i, int(linked[i].sum()), int(c)) for i, c in enumerate(low)]
+        low = new
 
 
 def test_token_counts(spark, edge_docs):
