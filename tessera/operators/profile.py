@@ -9,7 +9,8 @@
   moments per column pair; Spark sums the partials per pair.  One pass over
   the data for all pairs, O(p^2) rows per partition in the shuffle.
 * Average-linkage clustering merges reciprocal nearest clusters in rounds
-  over the small pair table (p^2 rows), checkpointed per round.
+  over the small table of cluster pairs (p^2 rows at first), checkpointed
+  per round; the merges are a result, cut at any height.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 from tessera import domain
 from tessera.functions.codes import priority_from_prefix
 from tessera.functions.numeric import nan_to_null, round_half_even, stable_round, status_rule
+from tessera.operators.codes import close_edges
 from tessera.operators.joins import top_n_per_group
 from tessera.operators.quality import to_long
 from tessera.session import cut_lineage
@@ -147,42 +149,68 @@ def top_k(corr: DataFrame, k: int = 5, group: str = "target", item: str = "featu
 
 # ----------------------------------------------------------------------------- collinearity
 
-def average_linkage_clusters(pairs: DataFrame, features, cut: float = domain.COLLINEARITY_CUT) -> DataFrame:
-    """M4: flat clusters of average linkage on d = 1 - |r| (NULL r -> d = 1),
-    cut at distance ``cut``.
+_DIST_SCALE = 10 ** 12
+
+
+def average_linkage_merges(pairs: DataFrame, features, cut: float | None = None) -> DataFrame:
+    """M4: the dendrogram of average linkage on d = 1 - |r| (NULL r or no pair -> d = 1) as a merge table.
 
-    pairs: (feature_a, feature_b, r) for unordered pairs.  Each round merges
-    every reciprocal-nearest pair of clusters whose average distance is
-    <= cut (valid for average linkage, which is reducible), until none is.
-    Returns (feature, cluster) with cluster = smallest feature index in it.
+    pairs: (feature_a, feature_b, r) for unordered pairs.  One row per merge: (a, b, height, size)
+    with a < b the smallest feature indices of the two clusters, the average distance between them
+    and the number of features of the union, which goes on as ``a``.  Merges above ``cut`` are left
+    out; without it there are p - 1 rows.
+
+    Each round merges every reciprocal-nearest pair of clusters, which for average linkage (it is
+    reducible) is what the chains of nearest neighbours end in; equal distances go to the smaller
+    index.  The table of cluster pairs carries sums of distances in units of 1e-12, so that
+    averages do not depend on the order of summation, and shrinks from round to round.
     """
     spark = pairs.sparkSession
-    features = list(features)
     idx = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "k int, feature string")
-    d = (pairs.join(F.broadcast(idx.withColumnRenamed("feature", "feature_a").withColumnRenamed("k", "a")), "feature_a")
-              .join(F.broadcast(idx.withColumnRenamed("feature", "feature_b").withColumnRenamed("k", "b")), "feature_b")
-              .select("a", "b", F.least(F.greatest(1 - F.abs(F.coalesce("r", F.lit(0.0))), F.lit(0.0)),
-                                        F.lit(1.0)).alias("dist")))
-    d = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    d = cut_lineage(d)
-    member = cut_lineage(idx.select(F.col("k").alias("m"), F.col("k").alias("c")))
-    while True:  # each round merges clusters or is the last
-        ma = member.select(F.col("m").alias("a"), F.col("c").alias("ca"))
-        mb = member.select(F.col("m").alias("b"), F.col("c").alias("cb"))
-        cd = (d.join(ma, "a").join(mb, "b").where(F.col("ca") != F.col("cb"))
-               .groupBy("ca", "cb").agg(F.avg("dist").alias("dd")))
-        w = Window.partitionBy("ca").orderBy("dd", "cb")
-        nn = cd.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-        recip = (nn.alias("x").join(nn.alias("y"), (F.col("x.ca") == F.col("y.cb")) & (F.col("x.cb") == F.col("y.ca")))
-                   .where((F.col("x.dd") <= cut) & (F.col("x.ca") > F.col("x.cb")))
-                   .select(F.col("x.ca").alias("old"), F.col("x.cb").alias("new")))
-        recip = cut_lineage(recip)
-        if recip.limit(1).count() == 0:
-            break
-        member = cut_lineage(member.join(recip, member.c == recip.old, "left")
-                             .select("m", F.coalesce("new", "c").alias("c")))
-    return (member.join(F.broadcast(idx), member.m == idx.k)
-                  .select("feature", F.col("c").alias("cluster")))
+    second = F.broadcast(idx.select(F.col("k").alias("y"), F.col("feature").alias("feature_y")))
+    given = pairs.select(F.least("feature_a", "feature_b").alias("fa"), F.greatest("feature_a", "feature_b").alias("fb"), "r")
+    every = idx.select(F.col("k").alias("x"), F.col("feature").alias("feature_x"), F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("y")) \
+        .where("x < y").join(second, "y")
+    every = every.select("x", "y", F.least("feature_x", "feature_y").alias("fa"), F.greatest("feature_x", "feature_y").alias("fb"))
+    near = F.least(F.greatest(1 - F.abs(F.coalesce("r", F.lit(0.0))), F.lit(0.0)), F.lit(1.0))
+    apart = cut_lineage(every.join(given, ["fa", "fb"], "left").select(
+        "x", "y", F.round(near * _DIST_SCALE).cast("long").alias("total"), F.lit(1).cast("long").alias("n")))
+    size = cut_lineage(idx.select(F.col("k").alias("c"), F.lit(1).cast("long").alias("size")))
+    merges = None
+    while True:
+        both = apart.unionByName(apart.select(F.col("y").alias("x"), F.col("x").alias("y"), "total", "n"))
+        nearest = both.groupBy("x").agg(F.min(F.struct((F.col("total") / F.col("n") / _DIST_SCALE).alias("height"), "y")).alias("best")).select("x", "best.*")
+        found = nearest.alias("l").join(nearest.alias("r"), (F.col("l.y") == F.col("r.x")) & (F.col("r.y") == F.col("l.x"))) \
+            .where("l.x < l.y").select(F.col("l.x").alias("a"), F.col("l.y").alias("b"), F.col("l.height").alias("height"))
+        if cut is not None:
+            found = found.where(F.col("height") <= cut)
+        found = found.join(size.select(F.col("c").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("c").alias("b"), F.col("size").alias("size_b")), "b")
+        found = cut_lineage(found.select("a", "b", "height", (F.col("size_a") + F.col("size_b")).alias("size")))
+        merges = found if merges is None else merges.unionByName(found)
+        if found.isEmpty():
+            return merges
+        joined = F.broadcast(found.select(F.col("b").alias("old"), F.col("a").alias("new")))  # at most half of the features
+        moved = apart.join(joined, F.col("x") == F.col("old"), "left").withColumn("x", F.coalesce("new", "x")).drop("old", "new") \
+            .join(joined, F.col("y") == F.col("old"), "left").withColumn("y", F.coalesce("new", "y")).where("x <> y")
+        apart = cut_lineage(moved.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
+        size = cut_lineage(size.join(F.broadcast(found.select(F.col("b").alias("c"))), "c", "anti")
+                           .join(F.broadcast(found.select(F.col("a").alias("c"), F.col("size").alias("_grown"))), "c", "left")
+                           .select("c", F.coalesce("_grown", "size").alias("size")))
+
+
+def cut_merges(merges: DataFrame, features, cut: float = domain.COLLINEARITY_CUT) -> DataFrame:
+    """M4: flat clusters of a merge table at distance ``cut``: (feature, cluster), cluster = smallest
+    feature index in it.  Heights never fall along a cluster's merges, so following the merges up
+    to ``cut`` gives the clusters at any height."""
+    spark = merges.sparkSession
+    idx = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "k int, feature string")
+    up = close_edges(merges.where(F.col("height") <= cut), "b", "a").select(F.col("old_code").alias("k"), F.col("new_code").alias("top"))
+    return idx.join(up, "k", "left").select("feature", F.coalesce("top", "k").alias("cluster"))
+
+
+def average_linkage_clusters(pairs: DataFrame, features, cut: float = domain.COLLINEARITY_CUT) -> DataFrame:
+    """M4: (feature, cluster): the merge table up to ``cut``, cut there."""
+    return cut_merges(average_linkage_merges(pairs, features, cut), features, cut)
 
 
 def prune_collinear(clusters: DataFrame, rules=domain.PRIORITY_PREFIXES,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.export import exact_pct, surrogate_ids
 from tessera.operators.impute import bayesian_ridge_from_moments, chained_impute, group_median_impute
-from tessera.operators.profile import average_linkage_clusters, column_profile, correlations
+from tessera.operators.profile import average_linkage_clusters, average_linkage_merges, column_profile, correlations, cut_merges
 from tessera.operators.quantiles import exact_quantiles
 
 
@@ -91,6 +91,41 @@ def test_average_linkage_matches_sequential(spark, seed):
     assert mine == _upgma_flat(1 - np.abs(r), 0.15)
 
 
+def _sequential_merges(d):
+    """(a, b, height, size): the closest pair of clusters, the smallest indices among equals, until one is left."""
+    clusters, out = {i: [i] for i in range(len(d))}, []
+    while len(clusters) > 1:
+        h, a, b = min((round(sum(round(d[p][q] * 1e12) for p in clusters[a] for q in clusters[b]) / len(clusters[a]) / len(clusters[b]) / 1e12, 12), a, b)
+                      for a in clusters for b in clusters if a < b)
+        clusters[a] += clusters.pop(b)
+        out.append((a, b, h, len(clusters[a])))
+    return out
+
+
+@pytest.mark.parametrize("seed,levels", [(0, 1000), (1, 4), (2, 2)])
+def test_merge_table_with_ties(spark, seed, levels):
+    """The dendrogram equals sequential merging, ties and missing pairs included, and its cuts equal flat clustering."""
+    rng = np.random.default_rng(seed)
+    p = 12
+    r = np.round(rng.uniform(0, 1, (p, p)) * levels) / levels
+    r = np.triu(r, 1) + np.triu(r, 1).T
+    r[0, 5] = r[5, 0] = 0.0
+    names = [f"f{i}" for i in range(p)]
+    rows = [(names[j], names[i], None if (i, j) == (0, 5) and seed else float(r[i, j])) for i in range(p) for j in range(i + 1, p) if (i, j) != (0, 5) or seed]
+    merges = average_linkage_merges(spark.createDataFrame(rows, "feature_a string, feature_b string, r double"), names)
+    got = sorted((m["height"], m["a"], m["b"], m["size"]) for m in merges.collect())
+    want = sorted((h, a, b, n) for a, b, h, n in _sequential_merges(1 - r))
+    assert len(got) == p - 1
+    np.testing.assert_allclose([m[0] for m in got], [m[0] for m in want], atol=1e-11)
+    for cut in (0.2, 0.55):
+        flat = {}
+        for row in cut_merges(merges, names, cut).collect():
+            flat.setdefault(row["cluster"], []).append(int(row["feature"][1:]))
+        assert all(c == min(members) for c, members in flat.items())
+        if levels > 10:  # without ties the clusters are unique
+            assert sorted(map(sorted, flat.values())) == _upgma_flat(1 - r, cut)
+
+
 def test_column_profile_skew_and_status(spark):
     df = spark.createDataFrame([(1.0, "2017"), (2.0, "2017"), (10.0, "2022"), (None, "2022")], "x double, annee string")
     r = column_profile(df, ["x"], "annee", ["2017", "2022"]).first()
