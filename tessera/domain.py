@@ -237,3 +237,10 @@ CENSUS_FORMER_COLS = [
 ]
 CRIME_COLS = ["CODGEO_2025", "annee", "indicateur", "nombre", "taux_pour_mille", "est_diffuse"]
 CRIME_SOURCE_YEARS = [2016, 2017, 2021, 2022]
+
+# --- fixed values: types of the exported indicators (the others are DECIMAL(6,2))
+INDICATOR_TYPES = {
+    "densite_associative": "DECIMAL(8,2)", "solde_naturel": "DECIMAL(8,2)",
+    "crim_violences": "DECIMAL(8,4)", "crim_atteintes_biens": "DECIMAL(8,4)", "crim_stupefiants": "DECIMAL(8,4)",
+    "revenu_median": "DECIMAL(10,2)", "d1_revenu": "DECIMAL(10,2)", "d9_revenu": "DECIMAL(10,2)",
+}

@@ -21,7 +21,7 @@ from tessera.operators import rollup as R
 from tessera.operators.codes import first_per_key, harmonize
 from tessera.operators.features import ByPeriod, Custom, PartsOrTotal, Ratio, ratio_features
 from tessera.operators.reshape import ordered_unique, vintage_stack
-from tessera.sources.sinks import insert_statements
+from tessera.operators.schema import Field, Schema, Table
 
 
 # ----------------------------------------------------------------------------- cleaning
@@ -235,20 +235,32 @@ def relational_model(table: DataFrame, regions: DataFrame, departements: DataFra
             "observation": observation, "resultat": resultat}
 
 
-EXPORT_ORDER = {"region": ["code"], "departement": ["code"], "commune": ["code"], "scrutin": ["id"],
-                "famille_politique": ["code"], "candidat": ["id"], "observation": ["id"],
-                "resultat": ["id_observation", "code_famille"]}
+def relational_schema() -> Schema:
+    """V7/K3: the schema of ``relational_model``'s tables."""
+    def must(name, type, references=None, default=None):
+        return Field(name, type, False, default, references)
+
+    indicators = [*domain.SOCIO_EXPORT_COLS, *domain.INCOME_EXPORT_NAMES.values()]
+    return Schema([
+        Table("region", (must("code", "VARCHAR(3)"), must("nom", "VARCHAR(100)")), ("code",)),
+        Table("departement", (must("code", "VARCHAR(3)"), must("nom", "VARCHAR(100)"), must("code_region", "VARCHAR(3)", ("region", "code"))), ("code",)),
+        Table("commune", (must("code", "VARCHAR(5)"), must("nom", "VARCHAR(150)"), Field("population", "INTEGER"),
+                          must("code_departement", "VARCHAR(3)", ("departement", "code"))), ("code",)),
+        Table("scrutin", (must("id", "INTEGER"), must("type", "VARCHAR(50)"), must("tour", "INTEGER"), must("date", "DATE")), ("id",)),
+        Table("famille_politique", (must("code", "VARCHAR(30)"), must("nom", "VARCHAR(60)"), must("clivage_dominant", "VARCHAR(200)")), ("code",)),
+        Table("candidat", (must("id", "INTEGER"), must("nom", "VARCHAR(100)"), must("prenom", "VARCHAR(100)"),
+                           must("code_famille", "VARCHAR(30)", ("famille_politique", "code"))), ("id",)),
+        Table("observation", (must("id", "INTEGER"), must("code_commune", "VARCHAR(5)", ("commune", "code")), must("id_scrutin", "INTEGER", ("scrutin", "id")),
+                              *[Field(c, "INTEGER") for c in domain.ELECTION_COUNT_COLS],
+                              *[Field(c, domain.INDICATOR_TYPES.get(c, "DECIMAL(6,2)")) for c in indicators]), ("id",), (("code_commune", "id_scrutin"),)),
+        Table("resultat", (must("id_observation", "INTEGER", ("observation", "id")), must("code_famille", "VARCHAR(30)", ("famille_politique", "code")),
+                           must("voix", "INTEGER", default="0"), Field("pourcentage", "DECIMAL(6,2)")), ("id_observation", "code_famille")),
+    ])
 
 
 def export_statements(model: dict) -> DataFrame:
     """K3: INSERT batches of every table of the model, tables in load order."""
-    parts = []
-    for i, (name, order) in enumerate(EXPORT_ORDER.items()):
-        parts.append(insert_statements(model[name], name, order).withColumn("table_order", F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return relational_schema().statements(model)
 
 
 # ----------------------------------------------------------------------------- feature analysis and models
