@@ -39,3 +39,22 @@ def test_feature_analysis_and_models(spark):
     assert proj.select("CODGEO").distinct().count() == N
     assert proj.count() == 3 * N
     assert mp["importance"].count() == len(feats)
+
+
+def test_analytical_shuffles_grow_with_the_input(spark, monkeypatch):
+    """A task's memory is a share of the input: more splits, more shuffle partitions, and the session's number after it."""
+    from tessera.plans import q_analysis
+    from tests.conftest import SF_SMALL
+    name, seen = "spark.sql.shuffle.partitions", []
+    own, cut = spark.conf.get(name), q_analysis.cut_lineage
+    monkeypatch.setattr(q_analysis, "cut_lineage", lambda df: (seen.append(int(spark.conf.get(name))), cut(df))[1])
+    want = sorted(map(str, q_analysis.analytical(spark, SF_SMALL).select("o_custkey", "annee", *q_analysis.TARGETS).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = sorted(map(str, q_analysis.analytical(spark, SF_SMALL).select("o_custkey", "annee", *q_analysis.TARGETS).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want and spark.conf.get(name) == own
+    assert seen[1] >= 2 * seen[0] and seen[1] > 8 * int(own)
