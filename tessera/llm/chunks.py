@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.common import kept
+
 #: texts are read together up to so many characters; speed and memory only
 BATCH_CHARS = 8_000_000
 #: so many chunks not seen yet are encoded as one text
 JOINED = 4096
-#: a cache keeps so many recent entries and as many older ones (about 150 bytes each); speed only
+#: so many entries a cache keeps, some 50 bytes each in ``ByteIds`` and 150 in ``_Cache``, which keeps as many older ones; speed only
 CACHE_ENTRIES = 750_000
 #: longer chunks are encoded each time
 CACHE_CHARS = 48
@@ -41,10 +43,18 @@ def _latin(c: str) -> bool:
     return c.isalpha() and ord(c) < 0x250
 
 
-@functools.cache
+_LATIN = np.array([c < 0x250 and chr(c).isalpha() for c in range(0x280)])
+
+
+def _strings(kind: pa.DataType, lens: np.ndarray, raw: np.ndarray) -> pa.Array:
+    """An array of ``kind`` whose values lie in ``raw`` one after the other, ``lens`` bytes each."""
+    offsets = np.concatenate(([0], np.cumsum(lens))).astype(np.int64)
+    return pa.Array.from_buffers(kind, len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
 def byte_ids(path: str, entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS) -> ByteIds:
-    """One instance per Python worker, kept across its tasks."""
-    return ByteIds(path, entries, batch_chars)
+    """One instance per Python worker, kept while tasks ask for it."""
+    return kept(("byte_ids", path, entries, batch_chars), lambda: ByteIds(path, entries, batch_chars))
 
 
 @functools.cache
@@ -83,21 +93,26 @@ class ByteIds:
     A chunk's first character says what stands before it: a line feed or, for the first
     chunk of a text, a tab (texts with tabs are encoded whole) has nothing before it, any
     other a blank.  A batch splits its texts and numbers their distinct chunks in Arrow,
-    looks each distinct chunk up once, and gathers the ids by these numbers.  Chunks not
-    seen yet are encoded many at a time, joined by blanks or by line feeds: the ids that
-    begin with the joint are where the chunks begin."""
+    looks each distinct chunk up once, and gathers the ids by these numbers.  A chunk is
+    known by its key: a last point or comma after a letter is left off, as letters and marks
+    never merge, and a tab stands for a line feed.  Keys not seen yet are encoded many at a
+    time, joined by blanks or by line feeds: the ids that begin with the joint are where they begin.
+
+    The cache is two Arrow arrays, keys and their ids, searched by Arrow's hash join of whole
+    batches: some 50 bytes an entry, no Python object for any."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS):
         self.tokenizer, self.entries, self.batch_chars = load(path), entries, batch_chars
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.mark = {c: self._encode(c) for c in ".,\n"}
+        self.keys, self.runs = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.batches = np.zeros(0, np.int64), 0
+        self.before = pa.array([b"", self._encode("\n")], pa.large_binary())
+        self.after = pa.array([b"", self._encode("."), self._encode(",")], pa.large_binary())
         blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
         self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(blank)]] = True
         self.feed = np.zeros(len(self.blank), bool)
-        self.feed[np.frombuffer(self.mark["\n"], "<u4")] = True
+        self.feed[np.frombuffer(self.before[1].as_py(), "<u4")] = True
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
@@ -106,60 +121,71 @@ class ByteIds:
     def _encode(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _joined(self, chunks: list[str], joint: str) -> list[bytes]:
-        """Ids of the chunks; after a blank these count it, after a line feed they don't."""
+    def _joined(self, chunks: list[str], joint: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in a row, and how many each has; after a blank these count it, after a line feed they don't."""
         ids = np.array(self.tokenizer.encode(joint + joint.join(chunks), add_special_tokens=False).ids, "<u4")
-        starts = np.flatnonzero((self.blank if joint == " " else self.feed)[ids])
+        first = (self.blank if joint == " " else self.feed)[ids]
+        starts = np.flatnonzero(first)
         if len(starts) != len(chunks):
             raise ValueError(f"{len(chunks)} chunks begin at {len(starts)} ids: not a byte-level vocabulary that splits at blanks")
-        raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)).tolist()
-        skip = 0 if joint == " " else 1
-        return [raw[4 * (a + skip): 4 * b] for a, b in zip(starts.tolist(), ends)]
-
-    def _values(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks, each with its first character as described above."""
-        recent, older = self.recent, self.older
-        found = [recent.get(c) for c in chunks]
-        missed = [i for i, v in enumerate(found) if v is None]
-        # known as the same letters without their mark or line feed: letters and marks never merge
-        plans, new = [], {}
-        for i in missed:
-            c = chunks[i]
-            value = older.get(c)
-            if value is not None:
-                plans.append((i, c, None, b""))
-                found[i] = value
-                continue
-            key, after = c, b""
-            if len(c) > 2 and c[-1] in ".," and _latin(c[-2]):
-                key, after = c[:-1], self.mark[c[-1]]
-            if key[0] == "\n":
-                key = "\t" + key[1:]
-            plans.append((i, c, key, after))
-            if key not in recent:
-                known = older.get(key)
-                if known is None:
-                    new[key] = b""
-                else:
-                    recent[key] = known
-        keys = list(new)
-        for joint, group in ((" ", [k for k in keys if k[0] != "\t"]), ("\n", [k for k in keys if k[0] == "\t"])):
+        lens = np.diff(np.append(starts, len(ids)))
+        return (ids, lens) if joint == " " else (ids[~first], lens - 1)
+
+    def _encoded(self, keys: pa.Array) -> pa.Array:
+        """Ids of keys not seen yet."""
+        bare = pc.starts_with(keys, "\t")
+        ids, lens = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for joint, group in ((" ", keys.filter(pc.invert(bare)).to_pylist()), ("\n", [k[1:] for k in keys.filter(bare).to_pylist()])):
             for at in range(0, len(group), JOINED):
-                part = group[at:at + JOINED]
-                new.update(zip(part, self._joined([k[1:] for k in part] if joint == "\n" else part, joint)))
-        for i, c, key, after in plans:
-            if key is not None:
-                value = (new[key] if key in new else recent[key]) + after
-                found[i] = self.mark["\n"] + value if c[0] == "\n" else value
-            if len(c) <= CACHE_CHARS:
-                recent[c] = found[i]
-        for key, value in new.items():
-            if len(key) <= CACHE_CHARS:
-                recent[key] = value
-        if len(recent) >= self.entries:
-            self.older, self.recent = recent, {}
+                part = self._joined(group[at:at + JOINED], joint)
+                ids.append(part[0])
+                lens.append(part[1])
+        runs = _strings(pa.large_binary(), np.concatenate(lens) * 4, np.concatenate(ids))
+        order = np.argsort(bare.to_numpy(zero_copy_only=False), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return runs.take(pa.array(place))
+
+    def _known(self, keys: pa.Array) -> pa.Array:
+        """Ids of distinct keys; new ones are kept, and the longest unused go beyond ``entries``."""
+        self.batches += 1
+        at = pc.index_in(keys, value_set=self.keys)
+        seen = at.drop_null().to_numpy()
+        self.used[seen] = self.batches
+        missing = at.is_null()
+        new = keys.filter(missing)
+        if not len(new):
+            return self.runs.take(at)
+        runs = self._encoded(new)
+        gone = missing.to_numpy(zero_copy_only=False)
+        found = pa.concat_arrays([self.runs.take(pa.array(seen)), runs]).take(pa.array(np.where(gone, len(seen) + np.cumsum(gone), np.cumsum(~gone)) - 1))
+        short = np.flatnonzero(pc.utf8_length(new).to_numpy() <= CACHE_CHARS)[:self.entries]
+        left = np.arange(len(self.keys))
+        if len(left) + len(short) > self.entries:
+            left = np.sort(np.argsort(-self.used, kind="stable")[:min(self.entries // 2, self.entries - len(short))])
+        left_at, short_at = pa.array(left), pa.array(short)
+        self.keys = pa.concat_arrays([self.keys.take(left_at), new.take(short_at)])
+        self.runs = pa.concat_arrays([self.runs.take(left_at), runs.take(short_at)])
+        self.used = np.concatenate((self.used[left], np.full(len(short), self.batches)))
         return found
 
+    def _values(self, chunks: pa.Array) -> pa.Array:
+        """Ids of distinct chunks, each with its first character as described above."""
+        raw = np.frombuffer(chunks.buffers()[2], np.uint8)
+        offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
+        starts, ends = offsets[:-1], offsets[1:]
+        last, one, two = (raw[np.maximum(ends - k, starts)] for k in (1, 2, 3))
+        letter = _LATIN[np.where(one < 0x80, one, np.where((two >= 0xC2) & (two <= 0xC9), (two & 0x1F).astype(np.int64) << 6 | one & 0x3F, 0))]
+        mark = np.where(letter & (ends - starts > 2), (last == ord(".")) + 2 * (last == ord(",")), 0)
+        feed = raw[starts] == ord("\n")
+        lens = ends - starts - (mark > 0)
+        to = np.cumsum(lens)
+        kept = raw[np.repeat(starts - to + lens, lens) + np.arange(to[-1])]
+        kept[(to - lens)[feed]] = ord("\t")
+        keys = _strings(pa.large_string(), lens, kept).dictionary_encode()
+        runs = self._known(keys.dictionary).take(keys.indices)
+        return pc.binary_join_element_wise(self.before.take(pa.array(feed.astype(np.int8))), runs, self.after.take(pa.array(mark)), pa.scalar(b"", pa.large_binary()))
+
     def _chunked(self, text: str) -> str | None:
         """The text with its chunks parted by single blanks, or None where it goes to the library whole."""
         # a single blank, or a single line feed, between two other characters always starts a new piece
@@ -193,18 +219,11 @@ class ByteIds:
     def _gather(self, chunked: list[str], places: list[int], out: list[bytes]) -> None:
         parts = pc.split_pattern(pa.array(chunked, pa.large_string()), " ")
         numbered = parts.values.dictionary_encode()
-        runs = self._values(numbered.dictionary.to_pylist())
-        lens = np.array([len(r) // 4 for r in runs], np.int64)
-        ids, starts = np.frombuffer(b"".join(runs), "<u4"), np.cumsum(lens) - lens
-        number = numbered.indices.to_numpy()
-        counts = lens[number]
-        ends = np.cumsum(counts)
-        all_ids = ids[np.repeat(starts[number] - ends + counts, counts) + np.arange(ends[-1])].tobytes()
-        last = 4 * ends[parts.offsets.to_numpy()[1:] - 1]
-        at = 0
-        for i, end in zip(places, last.tolist()):
-            out[i] = all_ids[at:end]
-            at = end
+        ids = self._values(numbered.dictionary).take(numbered.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[parts.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2])
+        for i, a, b in zip(places, ends, ends[1:]):
+            out[i] = raw[a:b].tobytes()
 
 
 class WordCounts:

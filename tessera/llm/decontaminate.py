@@ -148,32 +148,40 @@ def item_shards(benchmark: DataFrame, shard_words: int = SHARD_WORDS):
     yield held
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` with ``_item_n_words``, ``_item_spans`` (merged word intervals, start and end in turn) and
-    ``_item_items`` (distinct items as text)."""
+def _scanner(items: list, window: int):
+    def make():
+        automaton = SuffixAutomaton(items, window)
+
+        def step(cols):
+            n, spans, hit = [], [], []
+            for text, old, had in zip(cols["text"], cols["_item_spans"], cols["_item_items"]):
+                ws = words(text)
+                s, i = automaton.scan(ws)
+                n.append(len(ws))
+                spans.append(_merge(old + s) if old else s)
+                hit.append(sorted({*had, *(x for x in i if x is not None)}))
+            return cols | {"_item_n_words": n, "_item_spans": spans, "_item_items": hit}
+        return step
+    return make
+
+
+def _all_but_last(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> tuple:
+    """``docs`` scanned for all shards of the benchmark but the last, and the last one's scanner for ``map_lists``:
+    with what follows it, it makes one pass of one Python worker a task."""
     names = [c for c in docs.columns if c not in ("_item_n_words", "_item_spans", "_item_items")]
     found = docs.select(*names, F.lit(0).cast("long").alias("_item_n_words"), F.array().cast("array<long>").alias("_item_spans"), F.array().cast("array<string>").alias("_item_items"))
-    schema = found.schema
-    for k, items in enumerate(item_shards(benchmark, shard_words)):
-        if k:
-            found = materialize(found, "decontaminate")
+    schema, scan = found.schema, None
+    for items in item_shards(benchmark, shard_words):
+        if scan:
+            found = materialize(map_lists(found, schema, scan), "decontaminate")
+        scan = _scanner(items, window)
+    return found, schema, scan
 
-        def make(items=items):
-            automaton = SuffixAutomaton(items, window)
 
-            def step(cols):
-                n, spans, hit = [], [], []
-                for text, old, had in zip(cols["text"], cols["_item_spans"], cols["_item_items"]):
-                    ws = words(text)
-                    s, i = automaton.scan(ws)
-                    n.append(len(ws))
-                    spans.append(_merge(old + s) if old else s)
-                    hit.append(sorted({*had, *(x for x in i if x is not None)}))
-                return cols | {"_item_n_words": n, "_item_spans": spans, "_item_items": hit}
-            return step
-
-        found = map_lists(found, schema, make)
-    return found
+def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` with ``_item_n_words``, ``_item_spans`` (merged word intervals, start and end in turn) and
+    ``_item_items`` (distinct items as text)."""
+    return map_lists(*_all_but_last(docs, benchmark, window, shard_words))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -203,10 +211,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.
 
 def _without_spans(docs: DataFrame, benchmark: DataFrame, max_coverage: float, options: dict) -> DataFrame:
     names, schema = docs.columns, docs.schema
-    found = find_spans(docs, benchmark, **options)
+    found, _, scan = _all_but_last(docs, benchmark, **options)
 
     def make():
+        scanned = scan()
+
         def step(cols):
+            cols = scanned(cols)
             keep, texts = [], []
             for i, (text, n, spans) in enumerate(zip(cols["text"], cols["_item_n_words"], cols["_item_spans"])):
                 hit = sum(spans[1::2]) - sum(spans[::2])

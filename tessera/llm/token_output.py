@@ -128,7 +128,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
         return step
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_lists(ordered, SEGMENTS, make).write.option("compression", "zstd").parquet(path)
+    map_lists(ordered, SEGMENTS, make, keeps=True).write.option("compression", "zstd").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:

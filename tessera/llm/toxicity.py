@@ -50,8 +50,9 @@ SAMPLE_PER_LABEL = 600
 THRESHOLD = 0.5
 #: scored words kept per task (speed only)
 CACHE_WORDS = 250_000
-#: words whose subsequences are laid out at once
-BLOCK_WORDS = 20_000
+#: words whose subsequences are laid out at once, and texts whose words are held at once (memory only)
+BLOCK_WORDS = 5_000
+HELD_TEXTS = 256
 
 _SPELLED = re.compile(rb"(?:(?<![0-9a-z\x80-\xff])[a-z][^0-9a-z\x80-\xff\n]{1,2}){3,}[a-z](?![0-9a-z\x80-\xff])")
 
@@ -239,14 +240,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         def step(cols):
             if not model.trained:
                 return cols | {"_toxic_score": [model.share] * len(cols["text"])}
-            texts = [units(t) for t in cols["text"]]
-            new = list(set().union(*texts).difference(cache))
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set().union(*texts))
-            cache.update(zip(new, model.machine.scores(new).tolist()))
-            x = np.array([model.features([cache[w] for w in t], len(t)) for t in texts])
-            return cols | {"_toxic_score": model.score(x)}
+            x = []
+            for at in range(0, len(cols["text"]), HELD_TEXTS):
+                texts = [units(t) for t in cols["text"][at:at + HELD_TEXTS]]
+                new = list(set().union(*texts).difference(cache))
+                if len(cache) + len(new) > CACHE_WORDS:
+                    cache.clear()
+                    new = list(set().union(*texts))
+                cache.update(zip(new, model.machine.scores(new).tolist()))
+                x += [model.features([cache[w] for w in t], len(t)) for t in texts]
+            return cols | {"_toxic_score": model.score(np.array(x))}
         return step
 
     return map_lists(docs, schema, make)

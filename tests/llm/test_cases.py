@@ -1,7 +1,11 @@
 """Legal input that once lost links, crashed or met an operator's own column names."""
 
+import gc
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, jaccard_join, mix_sources, toxicity
@@ -75,3 +79,63 @@ def test_batches_of_chunks_have_the_tokenizers_ids(entries):
     want = [encoder.pack(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert [b for at in range(0, len(texts), 500) for b in encoder.batch(texts[at:at + 500])] == want
     assert encoder(texts[-1]) == want[-1] and encoder.batch([]) == []
+
+
+def held_bytes(work):
+    """What ``work()`` leaves allocated, by Python and NumPy and by Arrow, and the most that the first two held."""
+    gc.collect()
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        work()
+        now, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    return now + pa.total_allocated_bytes() - arrow, most
+
+
+def test_a_kept_chunk_takes_few_bytes():
+    from tessera.llm.chunks import ByteIds
+    from tessera.llm.queries import BYTE_VOCABULARY, tokenizer_path
+    encoder = ByteIds(tokenizer_path(BYTE_VOCABULARY), 200_000)
+    texts = [" ".join(f"w{1000 * i + k}" for k in range(1000)) for i in range(150)]
+    held, _ = held_bytes(lambda: [encoder.batch(texts[at:at + 10]) for at in range(0, 150, 10)])
+    assert held < 120 * 150_000
+    encoder.batch([f"{a} {b}" for a, b in zip(texts, texts[1:])])  # all known
+    encoder.batch([t.replace("w", "v") for t in texts])  # beyond the entries
+    assert len(encoder.keys) == len(encoder.runs) == len(encoder.used) <= 200_000
+
+
+def test_a_worker_forgets_the_chunks_of_earlier_operators(spark):
+    from tessera.llm import token_output
+    from tessera.llm.common import map_lists
+    from tessera.llm.queries import BYTE_VOCABULARY, tokenizer_path
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(64)], "doc_id long, text string")
+    token_output.write_segments(docs, token_output.shared_path(spark, "forget"), tokenizer_path(BYTE_VOCABULARY))
+
+    def make():
+        def step(cols):
+            return {"n": [sum(type(o).__name__ == "ByteIds" for o in gc.get_objects())] * len(cols["doc_id"])}
+        return step
+
+    assert {r["n"] for r in map_lists(docs.select("doc_id").repartition(16), "n long", make).collect()} == {0}
+
+
+def test_word_scores_lay_out_few_words_at_once():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(10)).encode() for _ in range(20_000)]
+    machine = toxicity.WordMachine(words[:50], words[50:100], np.ones(100))
+    whole = []
+    _, most = held_bytes(lambda: whole.append(machine.scores(words)))
+    assert most < 35_000_000
+    assert whole[0].tolist() == [s for at in range(0, 20_000, 7000) for s in machine.scores(words[at:at + 7000]).tolist()]
+
+
+def test_spans_are_found_and_cut_in_one_pass(spark, capsys):
+    docs = spark.createDataFrame([(1, words(0, 60)), (2, words(30, 34) + " " + words(100, 160))], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", words(100, 112)), ("b", words(300, 320)), ("c", words(10, 21))], "item_id string, text string")
+    for shard_words in (5, 1000):
+        out = decontaminate.remove_spans(docs, bench, shard_words=shard_words)
+        out.explain()
+        assert capsys.readouterr().out.count("MapInArrow") == 1
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: words(0, 10) + "  " + words(21, 60), 2: words(30, 34) + "  " + words(112, 160)}
