@@ -139,3 +139,12 @@ def test_spans_are_found_and_cut_in_one_pass(spark, capsys):
         out.explain()
         assert capsys.readouterr().out.count("MapInArrow") == 1
         assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: words(0, 10) + "  " + words(21, 60), 2: words(30, 34) + "  " + words(112, 160)}
+
+
+def test_arrow_batches_hold_a_slice_at_most(spark):
+    from tessera.llm.common import ROWS_PER_SLICE, map_lists
+    docs = spark.range(5000).coalesce(1).selectExpr("id", "repeat('x', 20000) as text")
+    map_lists(docs, "id long, text string", lambda: lambda cols: cols)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 5000
+    assert max(r["n"] for r in sizes) <= ROWS_PER_SLICE and max(r["size"] for r in sizes) < 24_000_000
