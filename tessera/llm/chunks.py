@@ -22,9 +22,9 @@ from tessera.llm.common import kept
 
 #: texts are read together up to so many characters; speed and memory only
 BATCH_CHARS = 8_000_000
-#: so many chunks not seen yet are encoded as one text
-JOINED = 4096
-#: so many entries a cache keeps, some 50 bytes each in ``ByteIds`` and 150 in ``_Cache``, which keeps as many older ones; speed only
+#: so many chunks not seen yet are encoded as one text, and so many such texts at a time
+JOINED, JOINED_TEXTS = 256, 64
+#: so many entries a cache keeps, some 60 bytes each in ``ByteIds`` and 150 in ``_Cache``, which keeps as many older ones; speed only
 CACHE_ENTRIES = 750_000
 #: longer chunks are encoded each time
 CACHE_CHARS = 48
@@ -44,6 +44,8 @@ def _latin(c: str) -> bool:
 
 
 _LATIN = np.array([c < 0x250 and chr(c).isalpha() for c in range(0x280)])
+#: factors of ``_hashes``: a byte's, and its place's in the key
+_BYTE, _PLACE = np.split(np.random.default_rng(1).integers(1, 1 << 63, 256 + 64, np.uint64) * np.uint64(2) + np.uint64(1), [256])
 
 
 def _strings(kind: pa.DataType, lens: np.ndarray, raw: np.ndarray) -> pa.Array:
@@ -52,6 +54,22 @@ def _strings(kind: pa.DataType, lens: np.ndarray, raw: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(kind, len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
 
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that a large string or binary array lies in, and where its values begin and the last one ends."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8), offsets
+
+
+def _hashes(keys: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings of which none is empty, from their first bytes and their lengths; equal ones may be of different strings."""
+    raw, offsets = _bytes(keys)
+    lens = np.diff(offsets)
+    some = np.minimum(lens, len(_PLACE))
+    starts = np.cumsum(some) - some
+    place = np.arange(some.sum()) - np.repeat(starts, some)
+    return np.add.reduceat(_BYTE[raw[np.repeat(offsets[:-1], some) + place]] * _PLACE[place], starts) + lens.astype(np.uint64)
+
+
 def byte_ids(path: str, entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS) -> ByteIds:
     """One instance per Python worker, kept while tasks ask for it."""
     return kept(("byte_ids", path, entries, batch_chars), lambda: ByteIds(path, entries, batch_chars))
@@ -98,14 +116,16 @@ class ByteIds:
     never merge, and a tab stands for a line feed.  Keys not seen yet are encoded many at a
     time, joined by blanks or by line feeds: the ids that begin with the joint are where they begin.
 
-    The cache is two Arrow arrays, keys and their ids, searched by Arrow's hash join of whole
-    batches: some 50 bytes an entry, no Python object for any."""
+    The cache is two Arrow arrays, keys and their ids, and the keys' hashes in order, searched for
+    whole batches; a key found by its hash is compared.  Some 60 bytes an entry, no Python object for any."""
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES, batch_chars: int = BATCH_CHARS):
         self.tokenizer, self.entries, self.batch_chars = load(path), entries, batch_chars
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keys, self.runs = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
-        self.used, self.batches = np.zeros(0, np.int64), 0
+        self.used, self.batches = np.zeros(0, np.int32), 0
+        #: hashes of the keys, ascending, and the keys' places
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.before = pa.array([b"", self._encode("\n")], pa.large_binary())
         self.after = pa.array([b"", self._encode("."), self._encode(",")], pa.large_binary())
         blank = self.tokenizer.id_to_token(self.tokenizer.encode(" ", add_special_tokens=False).ids[0])
@@ -121,9 +141,14 @@ class ByteIds:
     def _encode(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _joined(self, chunks: list[str], joint: str) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, chunks: pa.Array, joint: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks in a row, and how many each has; after a blank these count it, after a line feed they don't."""
-        ids = np.array(self.tokenizer.encode(joint + joint.join(chunks), add_special_tokens=False).ids, "<u4")
+        raw, offsets = _bytes(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), chunks, pa.scalar(joint, pa.large_string())))
+        cuts = [*offsets[:-1:JOINED].tolist(), int(offsets[-1])]
+        texts = [raw[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:])]
+        # without offsets in the texts, which nobody reads here
+        ids = np.concatenate([np.array(e.ids, "<u4") for at in range(0, len(texts), JOINED_TEXTS)
+                              for e in self.tokenizer.encode_batch_fast(texts[at:at + JOINED_TEXTS], add_special_tokens=False)])
         first = (self.blank if joint == " " else self.feed)[ids]
         starts = np.flatnonzero(first)
         if len(starts) != len(chunks):
@@ -134,45 +159,64 @@ class ByteIds:
     def _encoded(self, keys: pa.Array) -> pa.Array:
         """Ids of keys not seen yet."""
         bare = pc.starts_with(keys, "\t")
-        ids, lens = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for joint, group in ((" ", keys.filter(pc.invert(bare)).to_pylist()), ("\n", [k[1:] for k in keys.filter(bare).to_pylist()])):
-            for at in range(0, len(group), JOINED):
-                part = self._joined(group[at:at + JOINED], joint)
-                ids.append(part[0])
-                lens.append(part[1])
-        runs = _strings(pa.large_binary(), np.concatenate(lens) * 4, np.concatenate(ids))
+        groups = [(" ", keys.filter(pc.invert(bare))), ("\n", pc.utf8_slice_codeunits(keys.filter(bare), 1))]
+        parts = [self._joined(group, joint) for joint, group in groups if len(group)]
+        runs = _strings(pa.large_binary(), np.concatenate([lens for _, lens in parts]) * 4, np.concatenate([ids for ids, _ in parts]))
         order = np.argsort(bare.to_numpy(zero_copy_only=False), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         return runs.take(pa.array(place))
 
+    def _find(self, keys: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Places of distinct keys in the cache, -1 where it has none."""
+        found = np.full(len(keys), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            like = np.flatnonzero(self.hashes[at] == hashes)
+            places = self.places[at[like]]
+            same = pc.equal(self.keys.take(pa.array(places)), keys.take(pa.array(like))).to_numpy(zero_copy_only=False)
+            found[like[same]] = places[same]
+        return found
+
     def _known(self, keys: pa.Array) -> pa.Array:
         """Ids of distinct keys; new ones are kept, and the longest unused go beyond ``entries``."""
         self.batches += 1
-        at = pc.index_in(keys, value_set=self.keys)
-        seen = at.drop_null().to_numpy()
+        hashes = _hashes(keys)
+        at = self._find(keys, hashes)
+        gone = at < 0
+        seen = at[~gone]
         self.used[seen] = self.batches
-        missing = at.is_null()
-        new = keys.filter(missing)
-        if not len(new):
-            return self.runs.take(at)
+        if not gone.any():
+            return self.runs.take(pa.array(at))
+        new = keys.filter(pa.array(gone))
         runs = self._encoded(new)
-        gone = missing.to_numpy(zero_copy_only=False)
         found = pa.concat_arrays([self.runs.take(pa.array(seen)), runs]).take(pa.array(np.where(gone, len(seen) + np.cumsum(gone), np.cumsum(~gone)) - 1))
+        self._keep(new, runs, hashes[gone])
+        return found
+
+    def _keep(self, new: pa.Array, runs: pa.Array, hashes: np.ndarray) -> None:
         short = np.flatnonzero(pc.utf8_length(new).to_numpy() <= CACHE_CHARS)[:self.entries]
-        left = np.arange(len(self.keys))
-        if len(left) + len(short) > self.entries:
+        if len(self.keys) + len(short) > self.entries:
             left = np.sort(np.argsort(-self.used, kind="stable")[:min(self.entries // 2, self.entries - len(short))])
-        left_at, short_at = pa.array(left), pa.array(short)
-        self.keys = pa.concat_arrays([self.keys.take(left_at), new.take(short_at)])
-        self.runs = pa.concat_arrays([self.runs.take(left_at), runs.take(short_at)])
-        self.used = np.concatenate((self.used[left], np.full(len(short), self.batches)))
-        return found
+            place = np.full(len(self.keys), -1, np.int32)
+            place[left] = np.arange(len(left), dtype=np.int32)
+            stay = place[self.places] >= 0
+            self.hashes, self.places = self.hashes[stay], place[self.places[stay]]
+            self.keys, self.runs, self.used = self.keys.take(pa.array(left)), self.runs.take(pa.array(left)), self.used[left]
+        # one key a hash
+        hashes, first = np.unique(hashes[short], return_index=True)
+        at = np.searchsorted(self.hashes, hashes)
+        free = np.append(self.hashes, np.uint64(0))[at] != hashes
+        hashes, at, short = hashes[free], at[free], short[first[free]]
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.places = np.insert(self.places, at, np.arange(len(self.keys), len(self.keys) + len(short), dtype=np.int32))
+        self.keys = pa.concat_arrays([self.keys, new.take(pa.array(short))])
+        self.runs = pa.concat_arrays([self.runs, runs.take(pa.array(short))])
+        self.used = np.concatenate((self.used, np.full(len(short), self.batches, np.int32)))
 
     def _values(self, chunks: pa.Array) -> pa.Array:
         """Ids of distinct chunks, each with its first character as described above."""
-        raw = np.frombuffer(chunks.buffers()[2], np.uint8)
-        offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset:chunks.offset + len(chunks) + 1]
+        raw, offsets = _bytes(chunks)
         starts, ends = offsets[:-1], offsets[1:]
         last, one, two = (raw[np.maximum(ends - k, starts)] for k in (1, 2, 3))
         letter = _LATIN[np.where(one < 0x80, one, np.where((two >= 0xC2) & (two <= 0xC9), (two & 0x1F).astype(np.int64) << 6 | one & 0x3F, 0))]

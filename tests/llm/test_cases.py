@@ -2,6 +2,7 @@
 
 import gc
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -81,6 +82,34 @@ def test_batches_of_chunks_have_the_tokenizers_ids(entries):
     assert encoder(texts[-1]) == want[-1] and encoder.batch([]) == []
 
 
+def test_chunks_of_one_hash_keep_their_own_ids(monkeypatch):
+    from tessera.llm import chunks
+    from tessera.llm.queries import BYTE_VOCABULARY, tokenizer_path
+    monkeypatch.setattr(chunks, "_hashes", lambda keys: np.array([len(k) % 3 for k in keys.to_pylist()], np.uint64))
+    encoder = chunks.ByteIds(tokenizer_path(BYTE_VOCABULARY), 2)
+    texts = ["one two three", "two one\nfour five.", "six two one, four", "seven seven"] * 3
+    want = [encoder.pack(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [encoder(t) for t in texts] == want and encoder.batch(texts) == want
+    assert len(encoder.keys) == len(encoder.hashes) == len(encoder.places) <= 2 and sorted(encoder.places) == list(range(len(encoder.keys)))
+
+
+def test_a_lookup_takes_no_longer_in_a_full_cache():
+    from tessera.llm.chunks import ByteIds
+    from tessera.llm.queries import BYTE_VOCABULARY, tokenizer_path
+
+    def seconds(n):
+        encoder, took = ByteIds(tokenizer_path(BYTE_VOCABULARY)), []
+        encoder.batch([" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, n, 1000)])
+        for _ in range(9):
+            began = time.process_time()
+            encoder("w1 w2 w3")
+            took.append(time.process_time() - began)
+        assert len(encoder.keys) >= n
+        return min(took)
+
+    assert seconds(300_000) < 10 * seconds(1000) + 0.002
+
+
 def held_bytes(work):
     """What ``work()`` leaves allocated, by Python and NumPy and by Arrow, and the most that the first two held."""
     gc.collect()
