@@ -172,6 +172,21 @@ def test_bayesian_ridge_from_moments_matches_data_form():
     assert np.allclose(coef, c2, atol=1e-8) and icpt == pytest.approx(i2, abs=1e-8)
 
 
+@pytest.mark.parametrize("rounding", [0.0, 2e-16, 6e-16])
+def test_bayesian_ridge_of_equal_columns_shares_the_weight(rounding):
+    """Many rows, two equal columns of large values: what rounding leaves of their difference has no say."""
+    rng = np.random.default_rng(3)
+    a, b = rng.uniform(1e3, 1e5, 2000), rng.normal(0, 0.02, 2000)
+    y = 0.05 + 2 * b + rng.normal(0, 0.01, 2000)
+    x = np.column_stack((a, b, a, np.full(2000, 0.1)))
+    xtx, xty = 20_000 * (x.T @ x), 20_000 * (x.T @ y)
+    xtx[0, 2] = xtx[2, 0] = xtx[0, 0] * (1 + rounding)
+    xty[2] *= 1 + rounding
+    coef, icpt = bayesian_ridge_from_moments(4e7, 20_000 * x.sum(0), 20_000 * y.sum(), xtx, xty, 20_000 * (y @ y))
+    assert coef[1] == pytest.approx(2, abs=0.05) and icpt == pytest.approx(0.05, abs=0.005)
+    assert abs(coef[0]) < 1e-7 and abs(coef[2]) < 1e-7 and coef[3] == 0
+
+
 def test_chained_impute_fills_everything(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=200)
